@@ -15,6 +15,7 @@ from brindle.llm.packing import pack_documents
 from brindle.llm.shared import table
 from brindle.llm.simhash import simhash_groups
 from brindle.llm.substring_dedup import remove_repeats
+from brindle.llm.suffix_dedup import remove_repeated_bytes
 from brindle.llm.toxicity import toxicity_scores
 from brindle.llm.warc import archive_round_trip
 
@@ -29,6 +30,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -97,7 +103,7 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, tex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_warc, op5_embedding_dedup, op6_simhash, op7_toxicity, op8_exact_dedup, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_suffix_dedup, op4_warc, op5_embedding_dedup, op6_simhash, op7_toxicity, op8_exact_dedup, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

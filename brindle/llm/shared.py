@@ -49,6 +49,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/t{self.count}"
         df.write.parquet(path)
+        self.spark._jvm.System.gc()  # else shuffle files that nothing needs stay until the driver happens to collect
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -178,3 +179,10 @@ def by_cell(scratch: Scratch, cells: DataFrame, block: int, compare: Callable, s
             yield from compare(t)
 
     return dealt.mapInArrow(run, schema)
+
+
+def filesystem_path(uri: str) -> str | None:
+    """The path of a folder that is mounted as files, None for any other store."""
+    if uri.startswith("file:"):
+        return uri.removeprefix("file://").removeprefix("file:")
+    return uri if uri.startswith("/") else None
