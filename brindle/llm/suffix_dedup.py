@@ -23,9 +23,9 @@ from brindle.llm.shared import Scratch, bounded_batches, cell_runs, filesystem_p
 WINDOW = 100
 GRAM = 32
 #: Text bytes whose stretches a task brings together before it sends them.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 #: Stretch bytes that are sorted at once, in whole minimizer groups.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 #: A minimizer with more different stretches than this is hot: its strings are compared one by one by a
 #: combined aggregation instead of as a group in one task.
 HOT_STRETCHES = 1000
@@ -78,7 +78,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n)
+            self.n = max(n, FLUSH_BYTES // 4)
             self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(self.n, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _INVERSE))
         return self.up, self.down
 
