@@ -129,7 +129,7 @@ def star_order(t: np.ndarray, star: np.ndarray, depth: int) -> tuple[np.ndarray,
     stars = np.flatnonzero(star)
     following = np.append(stars[1:], n)
     gap = following - stars
-    many = np.where(t[stars] == 0, 1, np.maximum(1, -(-(gap - 1) // STEP)))
+    many = np.where(t[stars] == 0, 1, np.maximum(1, -(-gap // STEP)))
     node_star = np.repeat(np.arange(len(stars)), many)
     step_no = np.arange(len(node_star)) - np.repeat(np.cumsum(many) - many, many)
     pos = stars[node_star] + STEP * step_no
