@@ -70,7 +70,7 @@ class ZipRanges:
         tail_at = max(0, self.size - 65_557)
         tail = self.read(tail_at, self.size - tail_at)
         end = tail.rfind(END_SIGNATURE)
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(END_SIGNATURE, 0, end)  # the signature can stand in a comment
         if end < 0:
             raise ValueError("no end record: not a ZIP archive")
