@@ -49,18 +49,18 @@ def vector_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "key",
     q = queries.select("qid", F.col(vector).alias("v")).orderBy("qid")
     rows = q.toArrow()
     blocks = [rows.slice(i, QUERY_BLOCK) for i in range(0, rows.num_rows, QUERY_BLOCK)]
-    key_type = docs.schema[key].dataType.simpleString()
-    qid_type = queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {qid_type}, `{key}` {key_type}, score double"
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, `{key}` {docs.schema[key].dataType.simpleString()}, score double"
     narrow = docs.select(key, F.col(vector).alias("v")).where("v is not null")
     out = None
     for block in blocks:
         ids = block.column(0).to_pylist()
         matrix = np.array(block.column(1).to_pylist(), np.float64)
+        id_type = block.schema.field(0).type
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            names, best = None, None
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, id_type=id_type) -> Iterator[pa.RecordBatch]:
+            names, best, key_type = None, None, None
             for b in batches:
+                key_type = b.schema.field(0).type
                 if not b.num_rows:
                     continue
                 x = np.array(b.column(1).to_pylist(), np.float64)
@@ -72,7 +72,7 @@ def vector_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "key",
                 best, names = np.take_along_axis(score, place, 1), np.take_along_axis(keys, place, 1)
             if best is not None:
                 n = best.shape[1]
-                yield pa.record_batch([pa.array(np.repeat(np.array(ids), n)), pa.array(names.ravel().tolist()), pa.array(best.ravel())], names=["qid", key, "score"])
+                yield pa.record_batch([pa.array(np.repeat(np.array(ids), n).tolist(), id_type), pa.array(names.ravel().tolist(), key_type), pa.array(best.ravel())], names=["qid", key, "score"])
 
         part = narrow.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
