@@ -167,4 +167,5 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
     keyed = mine.select("doc_id", F.col("__row").alias("rid"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len"), F.unhex(F.sha2(nonspace(F.col("text")).cast("binary"), 256)).alias("sha"))
     stay = scratch.save(keepers(keyed).select(F.col("keep_rid").alias("__row")))
-    return mine.join(stay, "__row", "left_semi").select(*docs.columns)
+    # a row for each document that stays: never a side to broadcast, whatever its size today
+    return mine.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)

@@ -159,7 +159,7 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     passes = F.col("whole") + F.when(full, 1).otherwise(0)
     use = scratch.save(rows.select(F.col("row").alias("__row"), passes.alias("__whole"), F.when(~full & (F.size("ranges") > 0), F.col("ranges")).alias("__part")))
     modes = F.concat(F.array_repeat(F.lit(True), F.col("__whole")), F.when(F.col("__part").isNotNull(), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    copies = mine.join(use, "__row").select(*docs.columns, "__part", F.explode(modes).alias("__all"))
+    copies = mine.join(use.hint("merge"), "__row").select(*docs.columns, "__part", F.explode(modes).alias("__all"))
     bounded_batches(docs.sparkSession)
     some = F.pandas_udf(_cut, T.StringType())
     text = F.when(F.col("__all"), F.col("text")).otherwise(some(F.when(~F.col("__all"), F.col("text")), F.when(~F.col("__all"), F.col("__part"))))

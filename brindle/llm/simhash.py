@@ -167,4 +167,5 @@ def drop_near(docs: DataFrame) -> DataFrame:
     each = scratch.save(rows.groupBy("fp").agg(first))
     grouped = each.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best")
     stay = scratch.save(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")))
-    return mine.join(stay, "__row", "left_semi").select(*docs.columns)
+    # a row for each document that stays: never a side to broadcast, whatever its size today
+    return mine.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
