@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +84,6 @@ def vector_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "key",
 
 def embed_udf(model, dim: int):
     """A vector column from any model that maps a list of texts to rows of numbers: cut and normalised."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions.intent import classify
 from brindle.functions.text import combined_text, cover_url, join_authors, passage, query_text
@@ -154,11 +156,6 @@ def lexical_scorer(query: Column, text: Column) -> Column:
 def model_scorer(predict: Callable[[list[str], list[str]], list[float]], batch: int = 4):
     """A scorer from any pair model. Pairs go to it by length, so that little is padded, and come back in
     their own places."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, p in parts:
