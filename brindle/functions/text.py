@@ -190,6 +190,7 @@ def passage(title: Column, authors: Column, description: Column, subjects: Colum
 
 
 def cover_url(cover_id: Column, isbn: Column) -> Column:
+    # fixed values: the addresses of cover images by either key
     base = "https://covers.openlibrary.org/b/"
     return F.when(cover_id.isNotNull() & (cover_id != 0), F.concat(F.lit(base + "id/"), cover_id.cast("string"), F.lit("-M.jpg"))).when(
         F.nullif(isbn, F.lit("")).isNotNull(), F.concat(F.lit(base + "isbn/"), isbn, F.lit("-M.jpg?default=false")))

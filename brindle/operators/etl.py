@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from brindle.functions.text import MAX_AUTHORS, MAX_SUBJECTS, clean_description, english_by_stopwords, split_list, strip, usable, work_id
 
+# The tier of a book without one, and the name of the raw data.
 UNKNOWN_TIER = 99
+SOURCE_NAME = "goodreads_100k"
 
 
 def usable_rows(raw: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def records(raw: DataFrame, repair=lambda c: F.coalesce(c, F.lit(""))) -> DataFr
         split_list(repair(F.col("author")), MAX_AUTHORS).alias("authors"), clean_description(strip(repair(F.col("desc")))).alias("description"),
         split_list(repair(F.col("genre")), MAX_SUBJECTS).alias("subjects"), none.cast("int").alias("first_publish_year"), none.cast("int").alias("cover_id"),
         F.nullif(strip(F.col("isbn")), F.lit("")).alias("isbn"), empty.alias("subject_places"), empty.alias("subject_people"), empty.alias("subject_times"),
-        F.lit(1).alias("tier"), F.lit("goodreads_100k").alias("description_source"))
+        F.lit(1).alias("tier"), F.lit(SOURCE_NAME).alias("description_source"))
 
 
 def unique_ids(books: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.rag import context_entry, unsupported_titles
 
 MAX_SOURCES = 5
+# Fixed value: the answer when nothing was found.
 NO_HITS = "I couldn't find any relevant books for that question."
 
 

@@ -21,7 +21,7 @@ RAW_BOOK = "row_idx long, title string, author string, desc string, genre string
 SHARD = "batch_id string, start_idx long, work_id string, embedding array<float>"
 TASK = "batch_id string, blob_path string, start_idx int, end_idx int"
 
-#: Marks of files that hold published results, which nothing may overwrite.
+# Marks of files that hold published results, which nothing may overwrite.
 ARCHIVED = (".v1-openlibrary", "_v1.", ".v1.")
 
 
