@@ -24,6 +24,8 @@ WINDOW = 100
 GRAM = 32
 #: Text bytes whose stretches a task brings together before it sends them.
 FLUSH_BYTES = 8 << 20
+#: Text bytes that are hashed at once; a longer text is hashed whole.
+CHUNK_BYTES = 1 << 20
 #: Stretch bytes that are sorted at once, in whole minimizer groups.
 SORT_BYTES = 1 << 20
 #: A minimizer with more different stretches than this is hot: its strings are compared one by one by a
@@ -78,7 +80,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, FLUSH_BYTES // 4)
+            self.n = max(n, CHUNK_BYTES + 1)
             self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(self.n, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _INVERSE))
         return self.up, self.down
 
@@ -164,7 +166,7 @@ def find_stretches(rows: DataFrame, buckets: int) -> DataFrame:
             k = 0
             while k < len(texts):  # some texts at a time; a text is never cut
                 e, n = k, 0
-                while e < len(texts) and (e == k or n + len(texts[e]) <= FLUSH_BYTES // 4):
+                while e < len(texts) and (e == k or n + len(texts[e]) <= CHUNK_BYTES):
                     n += len(texts[e])
                     e += 1
                 held.append(stretches(texts[k:e], docs[k:e], ids[k:e], powers))
