@@ -779,3 +779,75 @@ def tpch_join_agg(spark, sf_dir):
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_daily_counts(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+# ---- further operators
+
+@query(f"""WITH {_dense_sql()}, {GRADES}, c AS (SELECT qid AS query, doc_id AS work_id, rank, coalesce(grade, 0) AS grade FROM vall LEFT JOIN grades ON query = qid AND work_id = doc_id WHERE rank <= 20),
+o AS (SELECT query, grade, rank, row_number() OVER (PARTITION BY query ORDER BY grade DESC, rank) AS best FROM c),
+d AS (SELECT query, sum(CASE WHEN best <= 10 AND grade > 0 THEN grade / log2(best + 1) ELSE 0 END) AS top, sum(CASE WHEN rank <= 10 AND grade > 0 THEN grade / log2(rank + 1) ELSE 0 END) AS dcg FROM o GROUP BY query),
+i AS (SELECT query, sum(CASE WHEN place <= 10 AND grade > 0 THEN grade / log2(place + 1) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, work_id) AS place FROM grades) GROUP BY query)
+SELECT round(avg(top / idcg), 6) AS oracle_ndcg, round(avg(top / idcg) - avg(dcg / idcg), 6) AS headroom FROM d JOIN i USING (query)""")
+def oracle_headroom(spark, sf_dir):
+    r = _dense(spark, sf_dir).select(F.lit("as_retrieved").alias("mode"), F.col("qid").alias("query"), "rank", F.col("doc_id").alias("work_id"))
+    g = _grades(spark, sf_dir)
+    best = metrics.oracle_order(metrics.judged(r, g)).select(F.lit("oracle").alias("mode"), "query", F.col("rank").cast("long").alias("rank"), "work_id")
+    m = metrics.query_metrics(r.unionByName(best), g)
+    top, base = F.avg(F.when(F.col("mode") == "oracle", F.col("ndcg"))), F.avg(F.when(F.col("mode") != "oracle", F.col("ndcg")))
+    return m.agg(F.round(top, 6).alias("oracle_ndcg"), F.round(top - base, 6).alias("headroom"))
+
+
+@query(f"WITH {JUDGED}, g AS (SELECT query, work_id FROM j WHERE work_id % 9 = 0) SELECT j.query, j.work_id FROM j JOIN g USING (query, work_id) WHERE grade = 0")
+def gold_misses(spark, sf_dir):
+    j = _judgments(spark, sf_dir)
+    q = j.where("work_id % 9 = 0").groupBy("query").agg(F.collect_list("work_id").alias("gold_work_ids"))
+    return agreement.gold_misses(q, j).select("query", "work_id")
+
+
+@query("SELECT count(*) AS calls, sum(length(text))::BIGINT AS input_tokens, sum(turn)::BIGINT AS output_tokens, round((sum(length(text)) * 0.15 + sum(turn) * 0.6) / 1e6, 6) AS cost FROM conversations WHERE role = 'assistant'")
+def usage_cost(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return judging_ops.usage_cost(c.select(F.length("text").cast("long").alias("input_tokens"), F.col("turn").alias("output_tokens")), 0.15, 0.6)
+
+
+@query(f"WITH {JUDGED} SELECT doc_id AS work_id FROM labels WHERE doc_id NOT IN (SELECT work_id FROM j WHERE grade IS NOT NULL)")
+def resume_judging(spark, sf_dir):
+    j = _judgments(spark, sf_dir)
+    pairs = read(spark, sf_dir, "labels").select((F.col("doc_id") % 7).alias("query"), F.col("doc_id").alias("work_id"))
+    return judging_ops.to_judge(pairs, j).select("work_id")
+
+
+@query("SELECT lang AS author, count(DISTINCT doc_id) AS n FROM documents WHERE lang <> '' GROUP BY lang")
+def normalized_authors(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", G.normalize_author(F.concat(F.lit(" Dr.  Prof. "), "lang")).alias("author")).where("author <> ''").groupBy("author").agg(F.countDistinct("doc_id").alias("n"))
+
+
+@query()
+def sample_rows(spark, sf_dir):
+    return etl.sample_rows(read(spark, sf_dir, "documents").select("doc_id", "lang"), 50, 42, "doc_id")
+
+
+@query()
+def label_pairs(spark, sf_dir):
+    j = _judgments(spark, sf_dir).select(F.col("query").cast("string").alias("query"), F.col("work_id").cast("string").alias("work_id"), "grade")
+    return sampling.label_pairs(j, j.select("query", "work_id"), 30, 42)
+
+
+@query()
+def spell_queries(spark, sf_dir):
+    d = spelling.build_dictionary(books(spark, sf_dir))
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("query"))
+    return spelling.correct(q, d)
+
+
+@query()
+def engine_search(spark, sf_dir):
+    from brindle.plans.engine import Engine, Settings, build_index
+
+    b = books(spark, sf_dir).withColumns({"first_publish_year": F.col("year"), "cover_id": F.lit(None).cast("int"), "isbn": F.lit(None).cast("string")}).drop("doc_id", "year")
+    e = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("gr:"), F.col("vec_id").cast("string")).alias("work_id"), "embedding")
+    asked = read(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    q = read(spark, sf_dir, "benchmark").join(asked, "item_id").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "vector")
+    engine = Engine(build_index(b, e), settings=Settings(dim=64), scorer=lexical_scorer)
+    return engine.search(q, 10, "hybrid", tier=1, rerank=True).select("qid", "rank", "work_id", "title", "original_rank", "rank_change", "rerank_score")
