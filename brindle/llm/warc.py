@@ -25,8 +25,9 @@ from brindle.llm.shared import Scratch, bounded_batches
 MIN_REVISIT_BYTES = 0
 #: Payload bytes after which a task starts another archive.
 ARCHIVE_BYTES = 256 << 20
-#: Records that a reading task fetches at once.
+#: Records that a reading task fetches at once, and archive bytes for each such task.
 RANGE_RECORDS = 64
+READ_BYTES = 16 << 20
 
 # Fixed values of the ZIP format: signatures and record layouts.
 END_SIGNATURE, END64_LOCATOR, END64_SIGNATURE, CENTRAL_SIGNATURE, LOCAL_SIGNATURE = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
@@ -288,5 +289,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, with_payload
     scratch = Scratch(pages.sparkSession, "warc")
     plan = plan_records(pages, scratch)
     archives = scratch.save(write_archives(plan, folder or f"{scratch.root}/archives"))
-    ranges = scratch.save(list_ranges(archives.repartition("archive")))
-    return read_records(ranges.repartition(F.xxhash64("archive", "spans")), with_payload)
+    n, size = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # by number: the rows are tiny beside what they stand for, and would be put together in one task
+    ranges = scratch.save(list_ranges(archives.repartition(max(1, n), "archive")))
+    return read_records(ranges.repartition(max(1, -(-size // READ_BYTES)), F.xxhash64("archive", "spans")), with_payload)
