@@ -20,6 +20,18 @@ LIMIT = 3
 #: at most 3, so at least three bands have equal counts. Each choice of three bands is a grid table.
 BANDS = ((0, 5), (5, 10), (10, 15), (15, 20), (20, 26), (26, 32))
 BLOCK = 1024
+#: The pipeline's stage has values of its own: texts are near from a Jaccard similarity of 4/5 of their
+#: five-word shingles on. Pairs are found by MinHash: of 24 bands of 5 values one must agree, which
+#: misses a pair of 0.8 in 1 of 13,000 cases, nearer ones more rarely. Pairs found are checked exactly.
+NEAR_WORDS = 5
+NEAR = (4, 5)
+NEAR_BANDS, NEAR_ROWS = 24, 5
+#: Bytes of a signature that show which members of a cell are alike; a pair of 0.8 shares fewer than
+#: LEAST_ALIKE in under 1 of 500,000 cases.
+SKETCH, LEAST_ALIKE = 32, 13
+#: Members of a cell that are held with their shingles at once.
+NEAR_BLOCK = 128
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, (NEAR_BANDS * NEAR_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ONES = np.uint64(0x0101010101010101)
 
 
@@ -156,16 +168,169 @@ def simhash_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, with all its columns: the smallest doc_id (null
-    last), the first such row."""
-    scratch = Scratch(docs.sparkSession, "simhash-stage")
-    mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = scratch.save(fingerprints(mine, ["doc_id", "__row"]))
-    roots = fingerprint_groups(scratch, rows)
+def shingles_of(text: str | None) -> np.ndarray:
+    """The distinct XXH64 hashes, ascending, of a text's runs of NEAR_WORDS words, or of all its words
+    where they are fewer; words as in `fingerprint_of`."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = xxhash.xxh64_intdigest
+    runs = max(1, len(words) - NEAR_WORDS + 1)
+    return np.unique(np.array([h(b" ".join(words[i : i + NEAR_WORDS]), SEED) for i in range(runs)], np.uint64))
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """MinHash: the least value of the shingles under each of NEAR_BANDS * NEAR_ROWS multipliers."""
+    least = [(_MULTIPLIERS * shingles[None, k : k + 4096]).min(axis=1) for k in range(0, len(shingles), 4096)]
+    return np.min(least, axis=0)
+
+
+def is_near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of NEAR or more."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * NEAR[1] >= (len(a) + len(b) - shared) * NEAR[0]
+
+
+def _near_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, __row, fp (a hash of the set of shingles, 0 if empty), cells and sketch."""
+    bounded_batches(docs.sparkSession)
+    narrow = docs.select("doc_id", "__row", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, cells, sketch = [], [], []
+            for text in b.column(2).to_pylist():
+                s = shingles_of(text)
+                fp.append(_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0)
+                sig = signature(s) if len(s) else np.zeros(0, np.uint64)
+                bands = sig.reshape(-1, NEAR_ROWS)
+                cells.append([_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(bands)])
+                sketch.append(sig[:SKETCH].astype(np.uint8).tobytes())
+            yield pa.record_batch([*b.columns[:2], pa.array(fp, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "__row", "fp", "cells", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, __row long, fp long, cells array<long>, sketch binary")
+
+
+def _alike(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each group of blocks: where it starts in `t`, and how many bytes of the sketches agree for
+    each pair that the group is to compare (row above column), in rows ordered by id; 0 elsewhere."""
+    cell, left, right = (t.column(i).to_numpy() for i in range(3))
+    part, ids = t.column(3).to_numpy(), t.column(4).to_numpy()
+    sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(ids), SKETCH)
+    starts = run_starts([cell, left, right])
+    for s, e in zip(starts[:-1], starts[1:], strict=True):
+        order = s + np.argsort(ids[s:e], kind="stable")
+        x, own = sketch[order], part[order]
+        same = np.zeros((len(x), len(x)), np.uint8)
+        for k in range(0, len(x), 128):
+            same[k : k + 128] = (x[k : k + 128, None] == x[None]).sum(axis=2, dtype=np.uint8)
+        same = np.tril(same, -1)
+        if left[s] != right[s]:
+            same[own[:, None] == own[None]] = 0
+        same[same < LEAST_ALIKE] = 0
+        yield s, order, same
+
+
+def _likely(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each member with the earlier one whose sketch is most alike, the nearest of several."""
+    ids, a, b = t.column(4).to_numpy(), [], []
+    for _, order, same in _alike(t):
+        best = same.shape[1] - 1 - same[:, ::-1].argmax(axis=1)
+        rows = np.flatnonzero(same[np.arange(len(best)), best])
+        a.append(ids[order[rows]])
+        b.append(ids[order[best[rows]]])
+    yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _checked(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links between members of different roots, by their sets of shingles; what a link has joined is
+    not compared again."""
+    ids, roots, sets = t.column(4).to_numpy(), t.column(6).to_numpy(), t.column(7)
+    for _, order, same in _alike(t):
+        i, j = np.nonzero(same)
+        _, group = np.unique(roots[order], return_inverse=True)
+        some = group[i] != group[j]
+        i, j = i[some], j[some]
+        best = np.argsort(-same[i, j].astype(int), kind="stable")
+        parts: dict[int, np.ndarray] = {}
+        a, b = [], []
+        for x, y in zip(i[best].tolist(), j[best].tolist(), strict=True):
+            if group[x] == group[y]:
+                continue
+            for z in (x, y):
+                if z not in parts:
+                    parts[z] = np.frombuffer(sets[int(order[z])].as_py(), np.uint64)
+            if is_near(parts[x], parts[y]):
+                group[group == group[x]] = group[y]
+                a.append(ids[order[x]])
+                b.append(ids[order[y]])
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame) -> DataFrame:
+    """(fp, root) of the sets of shingles that link with another one, by links of NEAR or more.
+
+    Sets that share a cell are compared, all of them exactly and none that are linked already: first
+    each with the one that looks most alike, then those of cells that hold several groups still.
+    """
+    cells = scratch.save(rows.where("fp <> 0").groupBy("fp").agg(F.min("__row").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")))
+    every = scratch.save(cells.select(F.explode("cells").alias("cell"), F.col("fp").alias("id")))
+    shared = every.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    each = scratch.save(every.join(shared.hint("merge"), "cell"))
+    wanted = scratch.save(each.select("id").distinct())
+    known = scratch.save(cells.join(wanted.hint("merge"), cells["fp"] == wanted["id"]).select("id", "first", "sketch"))
+    placed = scratch.save(each.join(known.hint("merge"), "id").select("cell", "id", "sketch"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([shingles_of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    texts = mine.select(F.col("__row").alias("first"), "text").join(known.select("id", "first").hint("merge"), "first")
+    sets = scratch.save(texts.select("id", "text").mapInArrow(cut, "id long, shingles binary"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(k).to_pylist() for k in (2, 3))
+            keep = [is_near(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = scratch.save(by_cell(scratch, placed, BLOCK, _likely, "a long, b long").distinct())
+    held = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    links = scratch.save(held.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    known_roots = scratch.save(components(scratch, links))
+    named = scratch.save(placed.join(known_roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("cell", "id", "sketch", F.coalesce("root", "id").alias("root")))
+    mixed = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+    open_cells = scratch.save(named.join(mixed.hint("merge"), "cell").join(sets.hint("merge"), "id").select("cell", "id", "sketch", "root", "shingles"))
+    more = scratch.save(by_cell(scratch, open_cells, NEAR_BLOCK, _checked, "a long, b long"))
+    scratch.drop(cells, every, each, wanted, known, placed, sets, pairs, links, named, open_cells)
+    return components(scratch, known_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("fp"), "root")
+
+
+def _firsts(scratch: Scratch, docs: DataFrame, mine: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best")
     each = scratch.save(rows.groupBy("fp").agg(first))
     grouped = each.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best")
     stay = scratch.save(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")))
     # a row for each document that stays: never a side to broadcast, whatever its size today
     return mine.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
+
+
+def drop_near(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates by op6's links, with all its columns: the smallest
+    doc_id (null last), the first such row."""
+    scratch = Scratch(docs.sparkSession, "simhash-stage")
+    mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = scratch.save(fingerprints(mine, ["doc_id", "__row"]))
+    return _firsts(scratch, docs, mine, rows, fingerprint_groups(scratch, rows))
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: as `drop_near`, by links of its own. Near are texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more, and all without words; a group is what such
+    links reach."""
+    scratch = Scratch(docs.sparkSession, "simhash-stage")
+    mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = scratch.save(_near_rows(mine))
+    return _firsts(scratch, docs, mine, rows, near_groups(scratch, mine, rows))

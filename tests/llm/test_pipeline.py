@@ -43,3 +43,28 @@ def test_stages(spark):
     tok = packing.WordTokenizer(packing.default_tokenizer())
     assert outs[4].agg(F.sum("length")).first()[0] == sum(len(tok.ids(r["text"])) // 4 + 1 for r in outs[3].collect())
     assert P.run(spark, SF).count() == outs[4].count()
+
+
+def test_near_stage_has_its_own_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "NEAR_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows, sets = [], []
+    for base in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        for k in range(20):
+            now = list(words)
+            for at in rng.choice(300, k % 10, replace=False):
+                now[at] = f"x{base}-{k}-{at}"
+            rows.append((len(rows), " ".join(now)))
+            sets.append({tuple(now[i : i + 5]) for i in range(296)})
+    group = list(range(len(rows)))
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += bin(simhash.fingerprint_of(rows[a][1]) ^ simhash.fingerprint_of(rows[b][1])).count("1") > 3
+                group = [group[b] if g == group[a] else g for g in group]
+    assert far > 100
+    got = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {min(i for i in range(len(rows)) if group[i] == g) for g in set(group)}
