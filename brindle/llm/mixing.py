@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks."""
+"""Mixing sources to target weights by Sainte-Laguë apportionment of words."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: MAX_SHARDS of them: the driver plans over a row for each shard.
 SHARD_DOCS = 1024
 MAX_SHARDS = 20_000
-#: The mix is cut into about so many blocks of equal size, of at most BLOCK_WORDS.
+#: A shard's ring starts at one of about so many places in the mix, at most BLOCK_WORDS apart.
 BLOCKS = 200_000
 BLOCK_WORDS = 4096
 #: Rows (of about 40 bytes) of a plan that may be broadcast.
@@ -79,7 +79,8 @@ def sainte_lague(shares: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray
 
 
 def _plan(spark: SparkSession, sized: DataFrame) -> tuple[DataFrame, list, int]:
-    """(sources, totals, block): the target of each source, and the words of a block."""
+    """(sources, totals, block): the target of each source, and the words between two places
+    where a ring may start."""
     totals = [(r["source"], r["docs"], r["words"]) for r in sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("words")).collect()]
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
     words, docs = [r[2] for r in totals], sum(r[1] for r in totals)
@@ -102,9 +103,9 @@ def mix(docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, row: st
     Returns row, doc_id, size, source_size, target, whole (passes that take all of the document), ranges
     (runs of words, from and to, taken once more) and taken (all words, repeats counted). Sources in
     code-point order, null last, weigh 1, 2, 3, repeating; a source of no words takes none. The total is
-    apportioned in blocks of equal size to sources and then to each source's shards by highest
-    quotients. A shard lays its documents out in seeded order in a ring; after its full passes it takes
-    blocks in a row from a seeded one on, so all but a few documents stay whole. A document gives a word
+    apportioned word by word to sources and then to each source's shards by highest quotients, so that
+    no source and no shard is too small for a share. A shard lays its documents out in seeded order in
+    a ring; after its full passes it takes words in a row from a seeded place on, so all but a few documents stay whole. A document gives a word
     at most 3 times. The choice depends on ids, texts and the seed alone.
     `row` names a column of unique longs, else one is made.
     """
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, row: st
     for number, _, words in shards:
         sizes[number] = sizes.get(number, 0) + words
     order = sorted(goal)
-    seats = sainte_lague(np.array([goal[i] for i in order]), round(sum(goal.values()) / block), np.array([max(0, MAX_PASSES * sizes.get(i, 0) // block) for i in order], np.int64))
+    seats = sainte_lague(np.array([goal[i] for i in order]), round(sum(goal.values())), np.array([MAX_PASSES * sizes.get(i, 0) for i in order], np.int64))
     by_source: dict[int, list[tuple[int, int]]] = {}
     for n, s, w in shards:
         by_source.setdefault(n, []).append((s, w))
@@ -130,9 +131,9 @@ def mix(docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, row: st
     for number, got in zip(order, seats, strict=True):
         mine = by_source.get(number, [])
         w = np.array([x[1] for x in mine], np.float64)
-        quota = sainte_lague(w, int(got), np.array([MAX_PASSES * x[1] // block for x in mine], np.int64))
+        quota = sainte_lague(w, int(got), np.array([MAX_PASSES * x[1] for x in mine], np.int64))
         for (s, words), q in zip(mine, quota, strict=True):
-            taken = int(q) * block
+            taken = int(q)
             whole = taken // words if words else 0
             rows.append((number, s, words, whole, taken - whole * words))
     plan = spark.createDataFrame(rows, "number int, shard int, words long, whole int, rest long")
@@ -150,8 +151,8 @@ def mix(docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, row: st
 
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents, with the columns of `docs`: a row for each full pass over a document, and one
-    more with the part of its text that chosen blocks cover, where they cover a part. n_chars, if there,
-    follows. Documents without a word are in no block and go."""
+    more with the part of its text that chosen words cover, where they cover a part. n_chars, if there,
+    follows. Documents without a word are never chosen and go."""
     scratch = Scratch(docs.sparkSession, "mix-stage")
     mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
     rows = mix(mine, seed, scratch, "__row").where("taken > 0")

@@ -284,6 +284,15 @@ def test_mix(spark, rows):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_mix_gives_small_sources_and_shards_their_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 64)
+    texts = [("a", "w " * 40)] * 1500 + [("b", "w")] * 700 + [("c", "v " * 9)] * 30
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert {r["source_size"] for r in got} == {60000, 700, 270} and all(abs(r["taken"] - r["target"]) <= 1 for r in got)
+
+
 def test_tokenizer_equals_the_library(rows):
     tok = packing.WordTokenizer(packing.default_tokenizer())
     texts = [t for _, t, _ in rows] + ["Ａｂ ﬁ ǅ é  x y", "it's 'tis I'LL 10,000.50!!! ?!x_y a'b", "\x85a　b", "日本語 текст ΑΣ", "🙂🙂 a​b", "a\x1fb"]
