@@ -301,13 +301,13 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch | None = None) -> Da
 
     Texts are read as UTF-8 bytes, null as empty; matches never cross documents. Each byte goes that a
     string of 100 bytes covers which also begins earlier: in a document of smaller doc_id (null last;
-    equal ids by row), or before in the same one. `docs` is read three times and must give the same rows
-    in the same order each time, as a stored table does. Empty input: empty result.
+    equal ids by row), or before in the same one. `docs` is read once and its rows are kept with
+    their numbers, which a second scan may deal otherwise. Empty input: empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = scratch or Scratch(spark, "suffix")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), "text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.save(find_stretches(rows, buckets))
     cut = scratch.save(cut_stretches(rows, found))

@@ -84,6 +84,17 @@ def test_suffix_dedup(spark, rows, monkeypatch):
     assert suffix_dedup.remove_repeated_bytes(make_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_table_that_is_dealt_anew(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(200)) + shared * (i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    moving = docs.mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), docs.schema)
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeated_bytes(moving).collect()}
+    want = {r["doc_id"]: (r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    assert got == want and sum(n >= 150 for n, _ in got.values()) == 19
+
+
 @pytest.mark.parametrize("depth", [3, 8, 100])
 def test_induced_sort(depth):
     rng = np.random.default_rng(depth)
