@@ -31,6 +31,8 @@ SORT_BYTES = 1 << 20
 #: A minimizer with more different stretches than this is hot: its strings are compared one by one by a
 #: combined aggregation instead of as a group in one task.
 HOT_STRETCHES = 1000
+#: So is one whose stretches have more bytes than this together: sorting takes some 60 bytes for each.
+HOT_BYTES = 4 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -195,8 +197,10 @@ def find_stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 r = r[first]
                 starts = np.flatnonzero(np.append(True, r["v"][1:] != r["v"][:-1]))
                 count = np.repeat(np.diff(np.append(starts, len(r))), np.diff(np.append(starts, len(r))))
+                size = np.repeat(np.add.reduceat(r["len"], starts), np.diff(np.append(starts, len(r))))
                 alone = (count == 1) & ~r["twice"]
-                for kind, pick in ((COLD, ~alone & (count <= HOT_STRETCHES)), (HOT, count > HOT_STRETCHES)):
+                hot = (count > HOT_STRETCHES) | (size > HOT_BYTES)
+                for kind, pick in ((COLD, ~alone & ~hot), (HOT, ~alone & hot)):
                     if pick.any():
                         yield _found(kind, r[pick])
 
@@ -204,6 +208,8 @@ def find_stretches(rows: DataFrame, buckets: int) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND)
 
 
+#: Digests of hot strings that are handed on at once.
+CUT_ROWS = 1 << 16
 CUT = "kind int, v long, w long, doc long, row long, at long, content binary"
 
 
@@ -212,6 +218,11 @@ def cut_stretches(rows: DataFrame, found: DataFrame) -> DataFrame:
     wanted = found.where(f"kind <> {REMOVED}").groupBy("row").agg(F.collect_list(F.struct("kind", "v", "at", "len")).alias("want"))
     joined = rows.join(wanted, "row").select("row", "doc", "text", "want")
 
+    def batch(out: list[tuple], doc: int, row: int) -> pa.RecordBatch:
+        kind, v, w2, at, part = zip(*out, strict=True)
+        n = len(out)
+        return pa.record_batch([pa.array(kind, pa.int32()), pa.array(v, pa.int64()), pa.array(w2, pa.int64()), pa.array(np.full(n, doc)), pa.array(np.full(n, row)), pa.array(at, pa.int64()), pa.array(part, pa.binary())], names=["kind", "v", "w", "doc", "row", "at", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, docs, ids = _rows_of(b)
@@ -223,11 +234,13 @@ def cut_stretches(rows: DataFrame, found: DataFrame) -> DataFrame:
                         out.append((COLD, w["v"], 0, w["at"], part))
                     else:
                         for i in range(len(part) - WINDOW + 1):
+                            if len(out) >= CUT_ROWS:
+                                yield batch(out, docs[k], ids[k])
+                                out = []
                             d = hashlib.blake2b(part[i : i + WINDOW], digest_size=16).digest()
                             out.append((HOT, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), w["at"] + i, None))
-                kind, v, w2, at, part = zip(*out, strict=True)
-                n = len(out)
-                yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(v, pa.int64()), pa.array(w2, pa.int64()), pa.array(np.full(n, docs[k])), pa.array(np.full(n, ids[k])), pa.array(at, pa.int64()), pa.array(part, pa.binary())], names=["kind", "v", "w", "doc", "row", "at", "content"])
+                if out:
+                    yield batch(out, docs[k], ids[k])
 
     return joined.mapInArrow(run, CUT)
 

@@ -95,6 +95,19 @@ def test_suffix_dedup_of_a_table_that_is_dealt_anew(spark):
     assert got == want and sum(n >= 150 for n, _ in got.values()) == 19
 
 
+def test_suffix_groups_are_hot_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "CUT_ROWS", 1000)
+    texts = ["ab" * (1000 + 37 * i) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scratch = suffix_dedup.Scratch(spark, "test")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc"), "text"))
+    kinds = {r["kind"] for r in suffix_dedup.find_stretches(rows, 4).collect()}
+    assert suffix_dedup.COLD not in kinds and suffix_dedup.HOT in kinds
+    got = sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeated_bytes(docs).collect())
+    assert got == [(0, len(texts[0]) - 2)] + [(i, len(t)) for i, t in enumerate(texts)][1:]
+
+
 @pytest.mark.parametrize("depth", [3, 8, 100])
 def test_induced_sort(depth):
     rng = np.random.default_rng(depth)
