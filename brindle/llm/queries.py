@@ -14,14 +14,14 @@ from brindle.llm.mixing import mix_report
 from brindle.llm.packing import pack_documents
 from brindle.llm.shared import table
 from brindle.llm.simhash import simhash_groups
-from brindle.llm.substring_dedup import remove_repeats
+from brindle.llm.substring_dedup import LEAST_WORDS, remove_repeats
 from brindle.llm.suffix_dedup import remove_repeated_bytes
 from brindle.llm.toxicity import toxicity_scores
 from brindle.llm.warc import archive_round_trip
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeats(table(spark, sf_dir, "documents"))
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"), "sentence", LEAST_WORDS)
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return cleaned.select("doc_id", "n_units", "n_removed", "removed_chars", spans.alias("removed_spans"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -63,22 +63,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = r"""
+OP1_SQL = rf"""
 WITH pieces AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?…\n]*(?:[.!?…]+[^.!?…\n \t][^.!?…\n]*)*[.!?…]*(?:[ \t]+|\n|$)') AS parts FROM documents),
 units AS (
-  SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k, len(parts) AS n FROM pieces),
+  SELECT doc_id, unnest(parts) AS unit, unnest(range(1, len(parts) + 1)) AS k FROM pieces),
 placed AS (
-  SELECT doc_id, k, n, parts[k] AS unit,
-    sum(length(parts[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(parts[k]) - 1 AS s,
-    lower(trim(regexp_replace(parts[k], '[ \t\r\n\x0B\x0C]+', ' ', 'g'), ' ')) AS norm FROM units),
+  SELECT doc_id, k, unit, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) AS s,
+    lower(trim(regexp_replace(unit, '[ \t\r\n\x0B\x0C]+', ' ', 'g'), ' ')) AS norm FROM units WHERE unit <> ''),
 ranked AS (
-  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM placed)
-SELECT doc_id, max(n)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+  SELECT *, norm <> '' AS solid, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again,
+    CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words FROM placed),
+runs AS (
+  SELECT *, count(*) FILTER (solid AND NOT again) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM ranked),
+marked AS (
+  SELECT *, again AND sum(words) FILTER (again) OVER (PARTITION BY doc_id, run) >= {LEAST_WORDS} AS gone FROM runs)
+SELECT documents.doc_id, count(*) FILTER (solid)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
   coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS removed_chars,
   coalesce(string_agg(s::BIGINT || '-' || (s + length(unit))::BIGINT, ',' ORDER BY k) FILTER (gone), '') AS removed_spans,
-  sha256(coalesce(string_agg(CASE WHEN gone THEN '' WHEN k = n THEN unit ELSE unit || chr(10) END, '' ORDER BY k), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+  sha256(coalesce(string_agg(CASE WHEN gone THEN '' ELSE unit END, '' ORDER BY k), '')) AS kept_sha256
+FROM documents LEFT JOIN marked USING (doc_id) GROUP BY documents.doc_id
 """
 
 OP4_SQL = r"""

@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is named (tests in local mode)
-    is a local one made."""
+    """The folder that driver and executors share. Where none is named, a local one is made in local mode,
+    and nothing else can run."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -63,6 +65,19 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts: what numbers of buckets and shards are chosen by."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
+def free_name(docs: DataFrame, stem: str) -> str:
+    """A column name that `docs` doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: rows with 0 are held out of training. A null id is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

@@ -38,27 +38,51 @@ def rows():
     return out
 
 
-def test_line_dedup(spark, rows):
-    got = substring_dedup.remove_repeats(make_docs(spark, rows)).collect()
+@pytest.mark.parametrize("kind, least", [("line", 1), ("sentence", 1), ("sentence", 12), ("paragraph", 3)])
+def test_line_dedup(spark, rows, monkeypatch, kind, least):
+    monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", 500)
+    shared = "This passage stands in two texts. It has several sentences, e.g. this one! Each is short"
+    rows = [*rows, (60, f"Start here {shared}. And so on.", "a"), (61, f"Other words {shared} elsewhere.", "a"), (62, "It has several sentences, e.g. this one! Else.", "b"), (63, "Long. " * 9000, "b")]
+    got = substring_dedup.remove_repeats(make_docs(spark, rows), kind, least).collect()
     assert len(got) == len(rows)
     seen, want = set(), []
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept, spans = "", []
-        for s, e, stop in substring_dedup.units_of(t or ""):
-            u = substring_dedup.normalise((t or "")[s:e])
-            if u and u in seen:
-                spans.append((s, e))
-            else:
-                kept += (t or "")[s:stop]
+        t, marks = t or "", []
+        for s, e, words in substring_dedup.units_of(t, kind):
+            u = b" ".join(words)
+            marks.append((s, e, len(words), u in seen))
             seen.add(u)
-        want.append((i, len(spans), kept))
-    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
-    assert sorted(((r["doc_id"], r["n_removed"], r["kept_text"]) for r in got), key=key) == sorted(want, key=key)
-    assert substring_dedup.remove_repeats(make_docs(spark, rows).limit(0)).count() == 0
-
-
-def test_paragraphs():
-    assert [x[:2] for x in substring_dedup.units_of("a\nb\n\n c\n \nd", "paragraph")] == [(0, 3), (5, 7), (10, 11)]
+        gone = []
+        for k, m in enumerate(marks):
+            lo = hi = k
+            while lo > 0 and marks[lo - 1][3]:
+                lo -= 1
+            while hi + 1 < len(marks) and marks[hi + 1][3]:
+                hi += 1
+            if m[3] and sum(x[2] for x in marks[lo : hi + 1]) >= least:
+                gone.append(m[:2])
+        kept, at = "", 0
+        for s, e in gone:
+            kept, at = kept + t[at:s], e
+        want.append((i, len(marks), [list(g) for g in gone], kept + t[at:]))
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[2]), r[3])
+    assert sorted(((r["doc_id"], r["n_units"], [list(x) for x in r["spans"]], r["kept_text"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["n_removed"] == len(r["spans"]) and r["removed_chars"] == sum(x["end"] - x["start"] for x in r["spans"]) for r in got)
+    assert substring_dedup.remove_repeats(make_docs(spark, rows).limit(0), kind, least).count() == 0
+
+
+def test_units_tile_the_text():
+    def parts(text, kind):
+        return [text[s:e] for s, e, _ in substring_dedup.units_of(text, kind)]
+
+    assert parts("a\nb\n\n c\n \nd", "paragraph") == ["a\nb\n\n", " c\n \n", "d"]
+    assert parts("a. b\n\nc", "line") == ["a. b\n", "c"]
+    assert parts("One.  Two?! 3.5 e.g.x y…\nz.\n", "sentence") == ["One.  ", "Two?! ", "3.5 e.g.x y…\n", "z.\n"]
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab. !\n\t…") for _ in range(rng.randrange(40)))
+        for kind in substring_dedup.UNITS:
+            assert "".join(m[0] for m in substring_dedup.UNITS[kind].finditer(text)) == text
 
 
 def brute_spans(docs, depth=100):
