@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.text import let
 from brindle.operators.ranking import SCORE_DIGITS, top_k
 
-#: Query vectors that each task holds at once; more queries are searched in blocks of this many.
-QUERY_BLOCK = 4096
+WORD = re.compile(r"[^\W_]+")
+#: Query vectors in a block, and rows of an index that are scored against a block at once.
+QUERY_BLOCK = 1024
+SCORE_ROWS = 2048
+#: Bytes of query vectors that may be sent to every task; more are joined with the index block by block.
+MAX_QUERY_BYTES = 64 << 20
 
 
 def normalize(v: Column) -> Column:
-    """To unit length in double precision; a zero vector stays as it is."""
-    d = v.cast("array<double>")
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
+    """To unit length in double precision; a zero vector stays as it is. Vector and norm are bound once,
+    so the cost is linear in the length."""
+    def scale(d: Column) -> Column:
+        norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d))
+
+    return let(v.cast("array<double>"), scale)
 
 
 def truncate(v: Column, dim: int) -> Column:
@@ -33,53 +44,84 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def word_hash_model(dim: int):
+    """A list of texts to signed sums of hashed words: linear in the words and the dimension."""
+    def model(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts, strict=True):
+            marks = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in WORD.findall(text.lower())], np.int64)
+            if len(marks):
+                row += np.bincount((marks >> 1) % dim, np.where(marks & 1, -1.0, 1.0), dim)
+        return out
+
+    return model
+
+
 def hashed_embedding(text: Column, dim: int = 256) -> Column:
     """An offline stand-in for an embedding model: signed hashed words, unit length."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    cells = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]))
-    return normalize(sums)
+    return embed_udf(word_hash_model(dim), dim)(text)
+
+
+def _packed(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Blocks of rows (keys, vectors as doubles in a row, length), so that a block is one row of a join."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows or max(1, b.num_rows)):
+                some = b.slice(at, rows or b.num_rows)
+                flat = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ends = pa.array([0, some.num_rows], pa.int32())
+                yield pa.record_batch([pa.ListArray.from_arrays(ends, some.column(0)), pa.array([flat.tobytes()], pa.binary()), pa.array([len(flat) // some.num_rows], pa.int32())], names=["keys", "flat", "dim"])
+
+    return df.mapInArrow(run, f"keys array<{kind}>, flat binary, dim int")
+
+
+def best_pairs(score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, equal scores by `order` of the columns."""
+    if score.shape[1] > k:
+        least = np.partition(score, -k, axis=1)[:, -k]
+        i, j = np.nonzero(score >= least[:, None])
+    else:
+        i, j = np.divmod(np.arange(score.size), max(1, score.shape[1]))
+    place = np.lexsort((order[j], -score[i, j], i))
+    i, j = i[place], j[place]
+    first = np.searchsorted(i, np.arange(score.shape[0]))
+    keep = np.arange(len(i)) - first[i] < k
+    return i[keep], j[keep]
 
 
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector") -> DataFrame:
     """(qid, key, score, rank) of `queries(qid, vector)` against all rows of `docs(key, vector)`.
 
-    Each task multiplies its rows with a block of query vectors, which is all that is sent to it, and
-    passes on its own k best for each query; the global cut follows. Filters on `docs` come before.
+    Blocks of queries meet blocks of rows; a pair of blocks is a matrix product that passes on its own k
+    best for each query, and the global cut follows. Nothing is collected. The blocks of queries are
+    broadcast behind a check of their bytes, else the blocks are joined by a shuffle. Filters on `docs`
+    come before. Null vectors are left out.
     """
-    q = queries.select("qid", F.col(vector).alias("v")).orderBy("qid")
-    rows = q.toArrow()
-    blocks = [rows.slice(i, QUERY_BLOCK) for i in range(0, rows.num_rows, QUERY_BLOCK)]
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, `{key}` {docs.schema[key].dataType.simpleString()}, score double"
-    narrow = docs.select(key, F.col(vector).alias("v")).where("v is not null")
-    out = None
-    for block in blocks:
-        ids = block.column(0).to_pylist()
-        matrix = np.array(block.column(1).to_pylist(), np.float64)
-        id_type = block.schema.field(0).type
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, id_type=id_type) -> Iterator[pa.RecordBatch]:
-            names, best, key_type = None, None, None
-            for b in batches:
-                key_type = b.schema.field(0).type
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                score = np.round(matrix @ x.T, SCORE_DIGITS)
-                keys = np.array(b.column(0).to_pylist())
-                score = score if best is None else np.concatenate([best, score], 1)
-                keys = np.broadcast_to(keys, (len(ids), len(keys))) if names is None else np.concatenate([names, np.broadcast_to(keys, (len(ids), len(keys)))], 1)
-                place = np.lexsort((keys, -score), axis=1)[:, :k] if score.shape[1] > 1 else np.zeros((len(ids), 1), int)
-                best, names = np.take_along_axis(score, place, 1), np.take_along_axis(keys, place, 1)
-            if best is not None:
-                n = best.shape[1]
-                yield pa.record_batch([pa.array(np.repeat(np.array(ids), n).tolist(), id_type), pa.array(names.ravel().tolist(), key_type), pa.array(best.ravel())], names=["qid", key, "score"])
-
-        part = narrow.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
-    return top_k(out, k, ["qid"], key=key)
+    q = queries.select("qid", F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    n, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = _packed(q.repartition(max(1, -(-n // QUERY_BLOCK))), "qid", QUERY_BLOCK).select(F.col("keys").alias("qids"), F.col("flat").alias("asked"), F.col("dim").alias("q_dim"))
+    if n * dim * 8 <= MAX_QUERY_BYTES:
+        blocks = F.broadcast(blocks)
+    rows = _packed(docs.select(key, F.col(vector).cast("array<double>").alias("v")).where("v is not null"), key)
+    key_type, qid_type = docs.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                keys, qids = b.column(0).slice(r, 1).flatten(), b.column(3).slice(r, 1).flatten()
+                x = np.frombuffer(b.column(1)[r].as_py()).reshape(-1, b.column(2)[r].as_py())
+                asked = np.frombuffer(b.column(4)[r].as_py()).reshape(-1, b.column(5)[r].as_py())
+                order = np.empty(len(keys), np.int64)
+                order[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+                for at in range(0, len(x), SCORE_ROWS):
+                    score = np.round(asked @ x[at : at + SCORE_ROWS].T, SCORE_DIGITS)
+                    i, j = best_pairs(score, order[at : at + SCORE_ROWS], k)
+                    yield pa.record_batch([qids.take(pa.array(i)), keys.take(pa.array(j + at)), pa.array(score[i, j])], names=["qid", key, "score"])
+
+    pairs = rows.crossJoin(blocks)  # blocks of a stated query set against all blocks of rows
+    return top_k(pairs.mapInArrow(run, f"qid {qid_type}, `{key}` {key_type}, score double"), k, ["qid"], key=key)
 
 
 def embed_udf(model, dim: int):
