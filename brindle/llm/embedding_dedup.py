@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.shared import Scratch, by_cell, components, forest, run_starts
@@ -19,8 +20,9 @@ RECALL = 0.98
 WIDTH = 2.0
 SEED = 23
 BLOCK = 1024
-#: Random pairs that a bucket may hold for each vector, on average, by the choice of hash length.
-CANDIDATES = 32.0
+#: Random vectors that a bucket may hold beside each vector, on average, by the choice of hash length: few, so
+#: that most vectors are alone in most buckets and aren't sent there.
+CANDIDATES = 0.5
 
 
 def collide(distance: float, width: float = WIDTH) -> float:
@@ -42,89 +44,105 @@ def projections(dim: int, length: int, tables: int, seed: int = SEED) -> tuple[n
     return rng.normal(size=(dim, tables * length)), rng.uniform(0, WIDTH, tables * length)
 
 
-def _valid(values: list) -> bool:
-    return values is not None and len(values) > 0 and all(x is not None and math.isfinite(x) for x in values) and any(values)
-
-
 def classes(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, vec, n, low): a row for each distinct valid vector, with its copies counted and their least
     vec_id. Copies are combined before the shuffle. `id` numbers the rows of a written table."""
-    key = F.col("embedding").cast("array<double>")
-    ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(key, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(key, lambda x: x != 0)
-    clean = F.transform(key, lambda x: x + F.lit(0.0))  # -0 and 0 are one
-    some = vectors.where(ok).select("vec_id", clean.alias("vec"))
+    some = vectors.where(is_valid()).select("vec_id", as_key().alias("vec"))
     grouped = some.groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     return scratch.save(grouped.select(F.monotonically_increasing_id().alias("id"), "vec", "n", "low"))
 
 
-def _hashes(reps: DataFrame, dims: list[int], rows: int, cosine: float, recall: float) -> tuple[DataFrame, int]:
-    length, tables = parameters(rows, cosine, recall)
+def as_key() -> Column:
+    """The vector in double precision, -0 and 0 being one."""
+    return F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
+
+
+def is_valid() -> Column:
+    key = F.col("embedding").cast("array<double>")
+    ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(key, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(key, lambda x: x != 0)
+    return F.coalesce(ok, F.lit(False))
+
+
+class Hasher:
+    """The bucket of a unit vector in each table: quantised random projections, mixed into a long."""
 
+    def __init__(self, length: int, tables: int):
+        self.length, self.tables = length, tables
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.weights = np.random.default_rng(SEED + 1).integers(1, 1 << 62, size=length, dtype=np.int64) | 1
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        d = x.shape[1]
+        if d not in self.made:
+            self.made[d] = projections(d, self.length, self.tables)
+        a, shift = self.made[d]
+        q = np.floor((x @ a + shift) / WIDTH).astype(np.int64).reshape(len(x), self.tables, self.length)
+        with np.errstate(over="ignore"):
+            h = (q * self.weights).sum(2) * np.int64(0x9E3779B97F4A7C1 | 1) + np.int64(d) + np.arange(self.tables) * np.int64(0x5851F42D4C957F2D)
+        return h ^ (h.view(np.uint64) >> np.uint64(29)).view(np.int64)
+
+
+def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
+    x = flat.reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cells(reps: DataFrame, hasher: Hasher) -> DataFrame:
+    """(cell, id): ids alone go into the tables."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {d: projections(d, length, tables) for d in dims}
-        weights = np.random.default_rng(SEED + 1).integers(1, 1 << 62, size=length, dtype=np.int64) | 1
         for b in batches:
-            ids, vecs, n = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
-            out = np.zeros((len(ids), tables), np.int64)
-            unit: list = [None] * len(ids)
-            for d in {len(v) for v in vecs}:
-                at = [i for i, v in enumerate(vecs) if len(v) == d]
-                x = np.array([vecs[i] for i in at], np.float64)
-                x /= np.abs(x).max(1, keepdims=True)  # no overflow in the norm
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                a, shift = made[d]
-                q = np.floor((x @ a + shift) / WIDTH).astype(np.int64).reshape(len(at), tables, length)
-                with np.errstate(over="ignore"):
-                    h = (q * weights).sum(2) * np.int64(0x9E3779B97F4A7C1 | 1) + np.int64(d)
-                    h ^= (h.view(np.uint64) >> np.uint64(29)).view(np.int64)
-                out[at] = h
-                for i, row in zip(at, x, strict=True):
-                    unit[i] = row
-            offsets = pa.array(np.arange(0, (len(ids) + 1) * tables, tables, dtype=np.int32))
-            yield pa.record_batch([pa.array(ids), pa.array(unit, pa.list_(pa.float64())), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["id", "vec", "n", "keys"])
-
-    return reps.select("id", "vec", "n").mapInArrow(run, "id long, vec array<double>, n long, keys array<bigint>"), tables
-
-
-def _compare(cosine: float):
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                ids, vecs = some.column(0).to_numpy(), some.column(1)
+                sizes = pc.list_value_length(vecs).to_numpy()
+                for d in np.unique(sizes):
+                    mine = np.flatnonzero(sizes == d)
+                    h = hasher(unit_rows(vecs.take(pa.array(mine)).flatten().to_numpy(), int(d)))
+                    yield pa.record_batch([pa.array(h.ravel()), pa.array(np.repeat(ids[mine], hasher.tables))], names=["cell", "id"])
+
+    return reps.select("id", "vec").mapInArrow(run, "cell long, id long")
+
+
+def _compare(cosine: float, hasher: Hasher):
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """For each group: the copies that each vector links with, as counts, and a spanning forest.
-        A pair counts in the first table whose bucket holds both, and in no later one."""
+        A pair counts in the first table whose bucket holds both, and in no other one."""
         names = t.column_names
-        cell, left, right, part, ids, n, number = (t.column(names.index(c)).to_numpy() for c in ("cell", "left", "right", "part", "id", "n", "number"))
+        cell, left, right, part, ids, n = (t.column(names.index(c)).to_numpy() for c in ("cell", "left", "right", "part", "id", "n"))
         starts = run_starts([cell, left, right])
-        vecs, keys = t.column("vec").combine_chunks(), t.column("keys").combine_chunks()
-        key_matrix = keys.flatten().to_numpy().reshape(len(ids), -1)
-        ends = vecs.offsets.to_numpy()
-        flat = vecs.values.to_numpy()
+        vecs = t.column("vec").combine_chunks()
+        ends, flat = vecs.offsets.to_numpy(), vecs.values.to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s < 2:
-                continue
-            x = np.stack([flat[ends[i] : ends[i + 1]] for i in range(s, e)])
-            table = int(number[s])
-            mine = key_matrix[s:e]
+            sizes = np.diff(ends[s : e + 1])
+            if e - s < 2 or (sizes != sizes[0]).any():
+                continue  # a bucket holds vectors of one length; a clash of the mixed hash links none
+            x = unit_rows(flat[ends[s] : ends[e]], int(sizes[0]))
             if left[s] == right[s]:
                 rows = cols = np.arange(e - s)
             else:
                 rows, cols = np.flatnonzero(part[s:e] == left[s]), np.flatnonzero(part[s:e] == right[s])
-            counts, li, lj = np.zeros(e - s, np.int64), [], []
-            weight = n[s:e]
+            found = []
             for k in range(0, len(rows), 256):
                 some = rows[k : k + 256]
-                near = x[some] @ x[cols].T >= cosine
-                i, j = np.nonzero(near)
+                i, j = np.nonzero(x[some] @ x[cols].T >= cosine)
                 i, j = some[i], cols[j]
                 if left[s] == right[s]:
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                new = ~(mine[i, :table] == mine[j, :table]).any(1)
-                i, j = i[new], j[new]
-                np.add.at(counts, i, weight[j])
-                np.add.at(counts, j, weight[i])
-                li.append(i)
-                lj.append(j)
-            root = forest(e - s, np.concatenate(li) if li else np.zeros(0, int), np.concatenate(lj) if lj else np.zeros(0, int))
+                    i, j = i[i < j], j[i < j]
+                found.append((i, j))
+            i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+            if not len(i):
+                continue
+            keys = hasher(x)
+            counts, weight, new = np.zeros(e - s, np.int64), n[s:e], np.zeros(len(i), bool)
+            for k in range(0, len(i), 4096):
+                same = keys[i[k : k + 4096]] == keys[j[k : k + 4096]]
+                new[k : k + 4096] = keys[i[k : k + 4096], same.argmax(1)] == cell[s]
+            i, j = i[new], j[new]
+            np.add.at(counts, i, weight[j])
+            np.add.at(counts, j, weight[i])
+            root = forest(e - s, i, j)
             hit = np.flatnonzero(counts)
             out[0].append(ids[s:e][hit])
             out[1].append(counts[hit])
@@ -146,18 +164,15 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, recall: float =
     """
     scratch = scratch or Scratch(vectors.sparkSession, "embed")
     reps = classes(vectors, scratch)
-    shape = reps.groupBy(F.size("vec").alias("d")).count().collect()  # a row for each vector length
-    dims, rows = [r["d"] for r in shape], sum(r["count"] for r in shape)
-    hashed, tables = _hashes(reps, dims, rows, cosine, recall)
-    hashed = scratch.save(hashed)
-    cells = hashed.select(F.posexplode("keys").alias("number", "key"), "id", "n", "vec", "keys").select(F.xxhash64("key", "number").alias("cell"), "id", "n", "number", "vec", "keys")
-    found = scratch.save(by_cell(scratch, cells, BLOCK, _compare(cosine), "id long, links long, root long"))
+    hasher = Hasher(*parameters(reps.count(), cosine, recall))
+    cells = scratch.save(_cells(reps, hasher))
+    found = scratch.save(by_cell(scratch, cells, BLOCK, _compare(cosine, hasher), "id long, links long, root long", reps.select("id", "vec", "n")))
+    scratch.drop(cells)
     counts = scratch.save(found.groupBy("id").agg(F.sum("links").alias("links")))
     roots = components(scratch, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = scratch.save(reps.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select("vec", "n", "low", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     least = scratch.save(named.groupBy("root").agg(F.min("low").alias("component_id")))
     known = scratch.save(named.join(least, "root").select("vec", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"))
-    key = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
-    joined = vectors.select("vec_id", key.alias("vec")).join(known, "vec", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    linked = vectors.where(is_valid()).select("vec_id", as_key().alias("vec")).join(known, "vec").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = vectors.where(~is_valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

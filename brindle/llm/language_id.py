@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from brindle.llm.shared import bounded_batches, fold
 
 #: Labelled documents that the network is fitted on at most, the first by a hash of their id.
 TRAIN_DOCS = 3000
+#: Windows of all their texts that training takes at most, evenly by a seeded draw.
+TRAIN_WINDOWS = 18_000
 WINDOW = 128
 EMBED = 8
 #: Filters for each width in bytes.
@@ -22,7 +25,7 @@ WIDEST = max(FILTERS)
 #: Windows that go through the network at once.
 BATCH = 256
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -72,6 +75,33 @@ class ByteConvNet:
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, self.dense.shape[1]), np.float32)
 
+    def gradients(self, x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy of windows x with languages t: for embed, conv, conv_bias, dense,
+        dense_bias. Only the byte run that won the pooling gets one."""
+        n = len(x)
+        cols = self._columns(x)
+        maps = (cols @ self.conv).reshape(n, WINDOW, -1)
+        top = maps.argmax(axis=1)
+        pre = np.take_along_axis(maps, top[:, None, :], 1)[:, 0] + self.conv_bias
+        hidden = np.maximum(pre, 0)
+        z = hidden @ self.dense + self.dense_bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(n), t] -= 1
+        p /= n
+        g_hidden = (p @ self.dense.T) * (pre > 0)
+        won = cols.reshape(n, WINDOW, -1)[np.arange(n)[:, None], top]
+        g_conv = np.einsum("nfk,nf->kf", won, g_hidden) * self.mask
+        g_cols = g_hidden[:, :, None] * self.conv.T[None]
+        g_embed = np.zeros_like(self.embed)
+        for o in range(WIDEST):
+            at = top + o
+            inside = at < WINDOW
+            byte = np.where(inside, x[np.arange(n)[:, None], np.minimum(at, WINDOW - 1)], 0)
+            np.add.at(g_embed, byte, g_cols[:, :, o * EMBED : (o + 1) * EMBED] * inside[:, :, None])
+        g_embed[0] = 0
+        return [g_embed, g_conv, g_hidden.sum(0), hidden.T @ p, p.sum(0)]
+
     def fit(self, windows: np.ndarray, y: np.ndarray, epochs: int = 4, rate: float = 3e-3, seed: int = 3) -> None:
         """Adam on the cross-entropy, in seeded mini-batches of 64 windows."""
         rng = np.random.default_rng(seed)
@@ -81,32 +111,8 @@ class ByteConvNet:
             order = rng.permutation(len(windows))
             for k in range(0, len(order), 64):
                 pick = order[k : k + 64]
-                x, t = windows[pick], y[pick]
-                n = len(pick)
-                cols = self._columns(x)
-                maps = (cols @ self.conv).reshape(n, WINDOW, -1)
-                top = maps.argmax(axis=1)
-                pre = np.take_along_axis(maps, top[:, None, :], 1)[:, 0] + self.conv_bias
-                hidden = np.maximum(pre, 0)
-                z = hidden @ self.dense + self.dense_bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(n), t] -= 1
-                p /= n
-                g_hidden = (p @ self.dense.T) * (pre > 0)
-                # only the byte run that won the pooling gets a gradient
-                won = cols.reshape(n, WINDOW, -1)[np.arange(n)[:, None], top]
-                g_conv = np.einsum("nfk,nf->kf", won, g_hidden) * self.mask
-                g_cols = g_hidden[:, :, None] * self.conv.T[None]
-                g_embed = np.zeros_like(self.embed)
-                for o in range(WIDEST):
-                    at = top + o
-                    inside = at < WINDOW
-                    byte = np.where(inside, x[np.arange(n)[:, None], np.minimum(at, WINDOW - 1)], 0)
-                    np.add.at(g_embed, byte, g_cols[:, :, o * EMBED : (o + 1) * EMBED] * inside[:, :, None])
-                g_embed[0] = 0
                 step += 1
-                for i, g in enumerate((g_embed, g_conv, g_hidden.sum(0), hidden.T @ p, p.sum(0))):
+                for i, g in enumerate(self.gradients(windows[pick], y[pick])):
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     params[i] -= (rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -139,11 +145,15 @@ def predict(model: ByteConvNet, texts: list[str | None]) -> tuple[list[str], lis
     return names, scores
 
 
-def train(docs: DataFrame, limit: int = TRAIN_DOCS, per_doc: int = 6, seed: int = 3) -> ByteConvNet:
-    """Fit on at most `limit` documents with a language whose fold isn't 0: from each some windows at
-    seeded places, of seeded lengths, so that short texts are learned too."""
+def train(docs: DataFrame, limit: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS, seed: int = 3) -> ByteConvNet:
+    """Fit on at most `limit` documents with a language whose fold isn't 0, and on at most about `windows`
+    of their windows: all windows of the whole texts take part in the seeded draw. Some are cut to
+    seeded lengths, so that short texts are learned too."""
     some = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     ids = F.broadcast(some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most `limit` numbers
+    chosen = some.select("doc_id", "text", "lang").join(ids, "doc_id")
+    total = chosen.agg(F.coalesce(F.sum(F.ceil(F.octet_length("text") / F.lit(WINDOW))), F.lit(0))).first()[0]
+    share = min(1.0, windows / max(1, total))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,16 +162,17 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, per_doc: int = 6, seed: int
                 if not _LETTER.search(text):
                     continue
                 data = text.encode("utf-8", "replace")
-                rng = np.random.default_rng(abs(d) % (1 << 32))
-                for _ in range(per_doc):
-                    size = WINDOW if rng.random() < 0.6 else int(rng.integers(4, WINDOW))
-                    at = int(rng.integers(0, max(1, len(data) - size + 1)))
+                every = windows_of(data)
+                rng = np.random.default_rng(zlib.crc32(data) ^ seed)
+                draws = rng.random((len(every), 3))
+                for k in np.flatnonzero(draws[:, 0] < share):
+                    size = WINDOW if draws[k, 1] < 0.6 else 4 + int(draws[k, 2] * (WINDOW - 4))
                     doc.append(d)
                     lang.append(name)
-                    win.append(data[at : at + size].ljust(WINDOW, b"\0"))
+                    win.append(every[k].tobytes()[:size].ljust(WINDOW, b"\0"))
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(lang, pa.string()), pa.array(win, pa.binary())], names=["doc_id", "lang", "win"])
 
-    got = some.select("doc_id", "text", "lang").join(ids, "doc_id").mapInArrow(cut, "doc_id long, lang string, win binary").toArrow()
+    got = chosen.mapInArrow(cut, "doc_id long, lang string, win binary").toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("lang").to_pylist(), got.column("win").to_pylist(), strict=True))
     names = sorted({r[1] for r in rows})
     model = ByteConvNet(names, seed)
@@ -176,7 +187,10 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, per_doc: int = 6, seed: int
 def identify(docs: DataFrame, model: ByteConvNet | None = None) -> DataFrame:
     """A row for each row of `docs(doc_id, text, lang, ...)`: doc_id, held_out, lang_pred, score.
 
-    Predictions read the whole text and nothing else. Where no row has a language, all are `und`.
+    Predictions read the whole text, of any length, and nothing else. A null text and one without a
+    letter (\\p{L}; numerals aren't) are `und` with score 0. Where no row to learn from has a language, all are
+    `und`. Repeated rows are predicted each; a null doc_id is held out. Other columns aren't read.
+    Empty input: empty result.
     """
     bounded_batches(docs.sparkSession)
     model = model or train(docs)

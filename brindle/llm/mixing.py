@@ -1,27 +1,24 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of words."""
+"""Mixing sources to target weights by Sainte-Laguë apportionment of blocks of words."""
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from brindle.llm.shared import Scratch, bounded_batches
+from brindle.llm.shared import Scratch, bounded_batches, free_name
 
 MAX_PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source are dealt into shards of about this many, more where there are over
-#: MAX_SHARDS of them: the driver plans over a row for each shard.
+#: Documents of a source are dealt into shards of about this many.
 SHARD_DOCS = 1024
-MAX_SHARDS = 20_000
-#: A shard's ring starts at one of about so many places in the mix, at most BLOCK_WORDS apart.
-BLOCKS = 200_000
+#: Words of a block, at most; a source has this many blocks at least, if it has the words.
 BLOCK_WORDS = 4096
+LEAST_BLOCKS = 64
 #: Rows (of about 40 bytes) of a plan that may be broadcast.
 MAX_BROADCAST_ROWS = 50_000
 
@@ -78,18 +75,20 @@ def sainte_lague(shares: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray
     return got
 
 
-def _plan(spark: SparkSession, sized: DataFrame) -> tuple[DataFrame, list, int]:
-    """(sources, totals, block): the target of each source, and the words between two places
-    where a ring may start."""
+def _sources(sized: DataFrame) -> tuple[DataFrame, int]:
+    """(number, source, source_size, target, seats, block, shards) for each source, and how many there are.
+
+    The driver holds a row for each source: weights go by the sources' order and targets by all sizes
+    together. Words are apportioned to sources by highest quotients, so none is too small for a share; a
+    source's blocks are equal and as long as its seats allow.
+    """
     totals = [(r["source"], r["docs"], r["words"]) for r in sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("words")).collect()]
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    words, docs = [r[2] for r in totals], sum(r[1] for r in totals)
+    words = [r[2] for r in totals]
     goal = targets(words, [1.0 + i % 3 for i in range(len(totals))])
-    block = max(1, min(BLOCK_WORDS, sum(words) // BLOCKS))
-    per = max(SHARD_DOCS, -(-docs // MAX_SHARDS))
-    source_rows = [(s, w, float(g), max(1, -(-n // per)), i) for i, ((s, n, w), g) in enumerate(zip(totals, goal, strict=True))]
-    sources = spark.createDataFrame(source_rows, "source string, source_size long, target double, shards int, number int")
-    return sources, totals, block
+    seats = sainte_lague(np.array(goal), round(sum(goal)), np.array([MAX_PASSES * w for w in words], np.int64))
+    rows = [(i, s, w, float(g), int(q), max(1, min(BLOCK_WORDS, int(q) // LEAST_BLOCKS)), max(1, -(-n // SHARD_DOCS))) for i, ((s, n, w), g, q) in enumerate(zip(totals, goal, seats, strict=True))]
+    return sized.sparkSession.createDataFrame(rows, "number int, source string, source_size long, target double, seats long, block long, shards int"), len(rows)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -97,73 +96,120 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def shard_quotas(words: np.ndarray, seats: int, block: int) -> np.ndarray:
+    """Words that each shard of a source gives: whole passes first, which all shards make alike, then whole
+    blocks by highest quotients, and the words that are no whole block to the next quotients."""
+    total = int(words.sum())
+    if not total:
+        return np.zeros(len(words), np.int64)
+    passes, rest = divmod(int(seats), total)
+    blocks = sainte_lague(words.astype(np.float64), rest // block, words // block)
+    got = blocks * block
+    left = rest - int(got.sum())
+    got += sainte_lague(words.astype(np.float64), left, words - got)
+    return got + passes * words
+
+
+def choose_words(sizes: np.ndarray, quota: int, block: int, seed: int) -> tuple[int, list[list[tuple[int, int]]]]:
+    """(passes, for each document the runs of its words that are taken once more) of a shard whose documents
+    stand in a row: the row is cut into blocks, a seeded choice of them is taken whole, and the words
+    that are no whole block come from the start of the next block chosen."""
+    total = int(sizes.sum())
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    if not total:
+        return 0, out
+    passes, rest = divmod(quota, total)
+    if not rest:
+        return passes, out
+    starts = np.arange(0, total, block)
+    lengths = np.minimum(block, total - starts)
+    order = np.random.default_rng(seed).permutation(len(starts))
+    upto = np.cumsum(lengths[order])
+    taken = np.clip(rest - (upto - lengths[order]), 0, lengths[order])
+    chosen = np.sort(order[taken > 0])
+    part = dict(zip(order.tolist(), taken.tolist(), strict=True))
+    ends = np.cumsum(sizes)
+    for b in chosen.tolist():
+        lo = int(starts[b])
+        hi = lo + part[b]
+        doc = int(np.searchsorted(ends, lo, side="right"))
+        while lo < hi:
+            first = int(ends[doc] - sizes[doc])
+            stop = min(hi, int(ends[doc]))
+            if stop > lo:
+                run = (lo - first, stop - first)
+                if out[doc] and out[doc][-1][1] == run[0]:
+                    out[doc][-1] = (out[doc][-1][0], run[1])
+                else:
+                    out[doc].append(run)
+            lo, doc = max(lo, stop), doc + 1
+    return passes, out
+
+
+PLANNED = "row long, doc_id {}, size long, source_size long, target double, whole long, ranges array<struct<from:long,to:long>>, taken long"
+
+
 def mix(docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
     """Plan the mix of `docs(doc_id, text, source, ...)`.
 
     Returns row, doc_id, size, source_size, target, whole (passes that take all of the document), ranges
     (runs of words, from and to, taken once more) and taken (all words, repeats counted). Sources in
-    code-point order, null last, weigh 1, 2, 3, repeating; a source of no words takes none. The total is
-    apportioned word by word to sources and then to each source's shards by highest quotients, so that
-    no source and no shard is too small for a share. A shard lays its documents out in seeded order in
-    a ring; after its full passes it takes words in a row from a seeded place on, so all but a few documents stay whole. A document gives a word
-    at most 3 times. The choice depends on ids, texts and the seed alone.
-    `row` names a column of unique longs, else one is made.
+    code-point order, null last, weigh 1, 2, 3, repeating; a source of no words takes none. Words are
+    apportioned to sources, and a source's blocks to its shards, by highest quotients; a shard lays its
+    documents out in seeded order, cuts that row into blocks and takes a seeded choice of as many as
+    its quota. A document gives a word at most 3 times. The choice depends on ids, texts and the seed
+    alone; equal rows are told apart by their place. Null and empty texts have size 0 and give nothing.
+    Texts are read whole. Other columns aren't read. Empty input: empty result. `row` names a column of
+    unique longs, else one is made.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
     sized = scratch.save(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")))
-    sources, totals, block = _plan(spark, sized)
+    sources, n = _sources(sized)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark"), F.lit(seed))
-    named = sized.join(_small(sources, len(totals)), sized["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "source_size", "target", "number", key.alias("order"), "mark", F.pmod(F.xxhash64(key, F.lit("shard")), F.col("shards")).cast("int").alias("shard"))
+    named = sized.join(_small(sources, n), sized["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "source_size", "target", "number", "block", key.alias("order"), "mark", F.pmod(F.xxhash64(key, F.lit("shard")), F.col("shards")).cast("int").alias("shard"))
     named = scratch.save(named)
-    shards = named.groupBy("number", "shard").agg(F.sum("size").alias("words")).collect()
-    shards = sorted((r["number"], r["shard"], r["words"]) for r in shards)
-    goal = {r["number"]: r["target"] for r in sources.collect()}
-    sizes: dict[int, int] = {}
-    for number, _, words in shards:
-        sizes[number] = sizes.get(number, 0) + words
-    order = sorted(goal)
-    seats = sainte_lague(np.array([goal[i] for i in order]), round(sum(goal.values())), np.array([MAX_PASSES * sizes.get(i, 0) for i in order], np.int64))
-    by_source: dict[int, list[tuple[int, int]]] = {}
-    for n, s, w in shards:
-        by_source.setdefault(n, []).append((s, w))
-    rows = []
-    for number, got in zip(order, seats, strict=True):
-        mine = by_source.get(number, [])
-        w = np.array([x[1] for x in mine], np.float64)
-        quota = sainte_lague(w, int(got), np.array([MAX_PASSES * x[1] for x in mine], np.int64))
-        for (s, words), q in zip(mine, quota, strict=True):
-            taken = int(q)
-            whole = taken // words if words else 0
-            rows.append((number, s, words, whole, taken - whole * words))
-    plan = spark.createDataFrame(rows, "number int, shard int, words long, whole int, rest long")
-    laid = named.join(_small(plan, len(rows)), ["number", "shard"])
-    before = W.partitionBy("number", "shard").orderBy("order", "doc_id", "mark", "row")
-    laid = laid.withColumn("end", F.sum("size").over(before)).withColumn("start", F.col("end") - F.col("size"))
-    ring = F.greatest(F.col("words"), F.lit(1))
-    first = F.floor(F.pmod(F.xxhash64("number", "shard", F.lit(seed)), ring) / F.lit(block)) * F.lit(block)
-    upto = first + F.col("rest")
-    parts = F.array(*(F.struct((F.greatest("start", lo) - F.col("start")).cast("long").alias("from"), (F.least("end", hi) - F.col("start")).cast("long").alias("to")) for lo, hi in ((F.lit(0), upto - F.col("words")), (first, F.least(upto, F.col("words"))))))
-    laid = laid.withColumn("ranges", F.filter(parts, lambda p: p["to"] > p["from"]))
-    once = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, p: n + p["to"] - p["from"])
-    return laid.select("row", "doc_id", "size", "source_size", "target", "whole", "ranges", (F.col("whole") * F.col("size") + once).cast("long").alias("taken"))
+
+    def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard", ignore_index=True)
+        pdf["quota"] = shard_quotas(pdf["words"].to_numpy(), int(pdf["seats"].iloc[0]), int(pdf["block"].iloc[0]))
+        return pdf[["number", "shard", "quota"]]
+
+    # a row for each shard: a thousandth of a source's documents
+    shards = named.groupBy("number", "shard").agg(F.sum("size").alias("words")).join(_small(sources.select("number", "seats", "block"), n), "number")
+    quotas = scratch.save(shards.groupBy("number").applyInPandas(apportion, "number int, shard int, quota long"))
+    laid = named.join(quotas.hint("merge"), ["number", "shard"])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["order", "mark", "row"], ignore_index=True)
+        first = pdf.iloc[0]
+        sizes = pdf["size"].to_numpy()
+        passes, ranges = choose_words(sizes, int(first["quota"]), int(first["block"]), abs(int(first["number"]) * 1_000_003 + int(first["shard"])) * 31 + seed)
+        pdf["whole"] = passes
+        pdf["ranges"] = [[{"from": a, "to": b} for a, b in r] for r in ranges]
+        pdf["taken"] = passes * sizes + np.array([sum(b - a for a, b in r) for r in ranges], np.int64)
+        return pdf[["row", "doc_id", "size", "source_size", "target", "whole", "ranges", "taken"]]
+
+    return laid.groupBy("number", "shard").applyInPandas(choose, PLANNED.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mixed documents, with the columns of `docs`: a row for each full pass over a document, and one
-    more with the part of its text that chosen words cover, where they cover a part. n_chars, if there,
-    follows. Documents without a word are never chosen and go."""
+    """The mixed documents, with the columns of `docs`, whatever their names: a row for each full pass over a
+    document, and one more with the part of its text that chosen words cover, where they cover a part.
+    n_chars, if there, follows. Documents without a word are never chosen and go. Cases as in `mix`."""
     scratch = Scratch(docs.sparkSession, "mix-stage")
-    mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = mix(mine, seed, scratch, "__row").where("taken > 0")
+    number, parts, whole = free_name(docs, "number"), free_name(docs, "parts"), free_name(docs, "whole")
+    mine = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
+    rows = mix(mine, seed, scratch, number).where("taken > 0")
     full = F.exists("ranges", lambda p: (p["from"] == 0) & (p["to"] == F.col("size")))
-    passes = F.col("whole") + F.when(full, 1).otherwise(0)
-    use = scratch.save(rows.select(F.col("row").alias("__row"), passes.alias("__whole"), F.when(~full & (F.size("ranges") > 0), F.col("ranges")).alias("__part")))
-    modes = F.concat(F.array_repeat(F.lit(True), F.col("__whole")), F.when(F.col("__part").isNotNull(), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    copies = mine.join(use.hint("merge"), "__row").select(*docs.columns, "__part", F.explode(modes).alias("__all"))
+    passes = (F.col("whole") + F.when(full, 1).otherwise(0)).cast("int")
+    some = F.when(~full & (F.size("ranges") > 0), F.col("ranges"))
+    modes = F.concat(F.array_repeat(F.lit(True), passes), F.when(some.isNotNull(), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    use = scratch.save(rows.select(F.col("row").alias(number), some.alias(parts), modes.alias(whole)))
+    copies = mine.join(use.hint("merge"), number).withColumn(whole, F.explode(whole))
     bounded_batches(docs.sparkSession)
-    some = F.pandas_udf(_cut, T.StringType())
-    text = F.when(F.col("__all"), F.col("text")).otherwise(some(F.when(~F.col("__all"), F.col("text")), F.when(~F.col("__all"), F.col("__part"))))
+    cut = F.pandas_udf(_cut, T.StringType())
+    text = F.when(F.col(whole), F.col("text")).otherwise(cut(F.when(~F.col(whole), F.col("text")), F.when(~F.col(whole), F.col(parts))))
     out = copies.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -173,8 +219,6 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 def _cut(text, ranges):
     import re
 
-    import pandas as pd
-
     word = re.compile(WORD)
     out = []
     for t, some in zip(text, ranges, strict=True):
@@ -187,5 +231,5 @@ def _cut(text, ranges):
 
 
 def mix_report(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """A row for each row of `docs`: doc_id, size, source_size, target, taken."""
+    """A row for each row of `docs`: doc_id, size, source_size, target, taken. Cases as in `mix`."""
     return mix(docs, seed).select("doc_id", "size", "source_size", "target", "taken")

@@ -87,13 +87,13 @@ FROM documents LEFT JOIN marked USING (doc_id) GROUP BY documents.doc_id
 
 OP4_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
-f AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+f AS (SELECT body, max(page_id) AS first FROM p GROUP BY body)
 SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
-FROM p JOIN f USING (h)
+FROM p JOIN f USING (body)
 """
 
 OP8_SQL = r"""

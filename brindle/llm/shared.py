@@ -3,6 +3,8 @@ components, and the blocked comparison of the members of hash cells."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows of documents handed to Python at once; whole texts can be long.
 ARROW_ROWS = 512
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,19 +36,37 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Long texts: hand them to Python a few hundred rows at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Long texts: hand them to Python some rows and megabytes at a time. Queries that run later in the
+    session keep these bounds, unless their caller has set narrower ones."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    if local := filesystem_path(path):
+        shutil.rmtree(local, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        _remove(spark, path)
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+    """Tables written to the shared folder, which cut lineage and survive lost executors. A result may read
+    them until the driver ends; then they go."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label = spark, label
         self.root = f"{scratch_root(spark)}/brindle-{label}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        atexit.register(_remove_at_exit, spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -58,11 +79,9 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in frames:
             if path := self.paths.pop(id(df), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                _remove(self.spark, path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -171,20 +190,24 @@ def run_starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def by_cell(scratch: Scratch, cells: DataFrame, block: int, compare: Callable, schema: str) -> DataFrame:
+def by_cell(scratch: Scratch, cells: DataFrame, block: int, compare: Callable, schema: str, members: DataFrame | None = None) -> DataFrame:
     """Compare the members of each cell with each other, whatever its size.
 
     `cells(cell, id, ...)` is a written table. Cells of one row are left out. A cell of more than
     `block` rows is dealt into blocks of about that size, and each pair of blocks is a group of its
     own, so no task holds more than two blocks of a cell at once; all pairs are compared, none is
     emitted as such. `compare(table)` gets rows (cell, left, right, part, id, ...) that hold whole
-    groups, sorted by the first three; part is the row's own block.
+    groups, sorted by the first three; part is the row's own block. `members(id, ...)`, a written table, adds
+    its columns to the rows of cells that are compared, and to no others.
     """
     sizes = scratch.save(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
     rest = [c for c in cells.columns if c != "cell"]
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     placed = cells.join(sizes, "cell").select("cell", *rest, parts.alias("parts"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(77)), F.col("parts")).cast("int"))
+    if members is not None:
+        placed = placed.join(members.hint("merge"), "id")
+        rest += [c for c in members.columns if c != "id"]
     dealt = placed.select("cell", *rest, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("cell", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", *rest)
     dealt = dealt.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")

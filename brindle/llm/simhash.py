@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import Scratch, bounded_batches, by_cell, components, forest, run_starts
+from brindle.llm.shared import Scratch, bounded_batches, by_cell, components, forest, free_name, run_starts
 
 SEED = 42
 LIMIT = 3
-#: A fingerprint's embedding: the bit counts of its 32 segments of two bits. The segments form six
-#: bands; if two fingerprints differ by at most 3 bits, the Manhattan distance of their embeddings is
-#: at most 3, so at least three bands have equal counts. Each choice of three bands is a grid table.
-BANDS = ((0, 5), (5, 10), (10, 15), (15, 20), (20, 26), (26, 32))
+#: A fingerprint's embedding: the bit counts of its 32 segments of two bits. Neighbouring segments form
+#: bands, more of them where there are more fingerprints: (fingerprints up to, bands).
+SEGMENTS = 32
+BANDS = ((1 << 27, 6), (1 << 31, 7), (1 << 63, 9))
 BLOCK = 1024
 #: The pipeline's stage has values of its own: texts are near from a Jaccard similarity of 4/5 of their
 #: five-word shingles on. Pairs are found by MinHash: of 24 bands of 5 values one must agree, which
@@ -87,11 +87,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def grid_cells(fps: DataFrame) -> DataFrame:
-    """(cell, id): each fingerprint in the cell of each of the 20 tables."""
+def bands_for(n: int) -> list[tuple[int, int]]:
+    """Bands of neighbouring segments, (from, to), for n fingerprints."""
+    k = next(k for upto, k in BANDS if n <= upto)
+    edges = [round(i * SEGMENTS / k) for i in range(k + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def grid_cells(fps: DataFrame, n: int) -> DataFrame:
+    """(cell, id): each fingerprint in its cell of each grid table.
+
+    The range join under Manhattan distance, in its exact form for a radius of LIMIT: a difference of
+    1 in a segment's count moves a point in one band alone, so two points within the radius lie in
+    the same cell of all but at most LIMIT bands. A table for each choice of the other bands, its
+    cell being those bands' counts, holds every such pair, and no neighbouring cells need be visited.
+    Hamming distance is never below the Manhattan distance, so no link is lost. More bands make longer
+    keys and more tables, so cells stay small as the fingerprints grow.
+    """
     counts = segment_counts(F.col("id"))
+    bands = bands_for(n)
     keys = []
-    for t, chosen in enumerate(combinations(BANDS, 3)):
+    for t, chosen in enumerate(combinations(bands, len(bands) - LIMIT)):
         mask = sum(((1 << (2 * (hi - lo))) - 1) << (2 * lo) for lo, hi in chosen)
         keys.append(F.xxhash64(counts.bitwiseAND(F.lit(_signed(mask))), F.lit(t)))
     return fps.select(F.explode(F.array(*keys)).alias("cell"), "id")
@@ -105,6 +121,8 @@ def _near(table: pa.Table) -> Iterator[pa.RecordBatch]:
     from_a, to_b = [], []
     two = np.flatnonzero(starts[1:] - starts[:-1] == 2)  # most groups are pairs: all at once
     a, b = ids[starts[:-1][two]], ids[starts[:-1][two] + 1]
+    near = _lower_bound(a.view(np.uint64), b.view(np.uint64)) <= LIMIT
+    a, b = a[near], b[near]
     near = np.bitwise_count((a ^ b).view(np.uint64)) <= LIMIT
     from_a.append(a[near])
     to_b.append(b[near])
@@ -145,7 +163,7 @@ def fingerprint_groups(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """(fp, root): the fingerprints that link with another one, by the least fp (signed) reachable.
     `rows(fp, ...)` is a written table; equal fingerprints are one."""
     fps = scratch.save(rows.select(F.col("fp").alias("id")).distinct())
-    cells = scratch.save(grid_cells(fps))
+    cells = scratch.save(grid_cells(fps, fps.count()))
     links = scratch.save(by_cell(scratch, cells, BLOCK, _near, "a long, b long"))
     scratch.drop(cells, fps)
     return components(scratch, links).select(F.col("node").alias("fp"), "root")
@@ -191,10 +209,10 @@ def is_near(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * NEAR[1] >= (len(a) + len(b) - shared) * NEAR[0]
 
 
-def _near_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, __row, fp (a hash of the set of shingles, 0 if empty), cells and sketch."""
+def _near_rows(docs: DataFrame, number: str) -> DataFrame:
+    """doc_id, row (of the column `number`), fp (a hash of the set of shingles, 0 if empty), cells and sketch."""
     bounded_batches(docs.sparkSession)
-    narrow = docs.select("doc_id", "__row", "text")
+    narrow = docs.select("doc_id", F.col(number).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,10 +224,10 @@ def _near_rows(docs: DataFrame) -> DataFrame:
                 bands = sig.reshape(-1, NEAR_ROWS)
                 cells.append([_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(bands)])
                 sketch.append(sig[:SKETCH].astype(np.uint8).tobytes())
-            yield pa.record_batch([*b.columns[:2], pa.array(fp, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "__row", "fp", "cells", "sketch"])
+            yield pa.record_batch([*b.columns[:2], pa.array(fp, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "row", "fp", "cells", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, __row long, fp long, cells array<long>, sketch binary")
+    return narrow.mapInArrow(run, f"doc_id {kind}, row long, fp long, cells array<long>, sketch binary")
 
 
 def _alike(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -269,13 +287,13 @@ def _checked(t: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame) -> DataFrame:
+def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame, number: str) -> DataFrame:
     """(fp, root) of the sets of shingles that link with another one, by links of NEAR or more.
 
     Sets that share a cell are compared, all of them exactly and none that are linked already: first
     each with the one that looks most alike, then those of cells that hold several groups still.
     """
-    cells = scratch.save(rows.where("fp <> 0").groupBy("fp").agg(F.min("__row").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")))
+    cells = scratch.save(rows.where("fp <> 0").groupBy("fp").agg(F.min("row").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")))
     every = scratch.save(cells.select(F.explode("cells").alias("cell"), F.col("fp").alias("id")))
     shared = every.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     each = scratch.save(every.join(shared.hint("merge"), "cell"))
@@ -287,7 +305,7 @@ def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame) -> DataFrame
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles_of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    texts = mine.select(F.col("__row").alias("first"), "text").join(known.select("id", "first").hint("merge"), "first")
+    texts = mine.select(F.col(number).alias("first"), "text").join(known.select("id", "first").hint("merge"), "first")
     sets = scratch.save(texts.select("id", "text").mapInArrow(cut, "id long, shingles binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,29 +326,30 @@ def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame) -> DataFrame
     return components(scratch, known_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("fp"), "root")
 
 
-def _firsts(scratch: Scratch, docs: DataFrame, mine: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best")
+def _firsts(scratch: Scratch, docs: DataFrame, mine: DataFrame, rows: DataFrame, roots: DataFrame, number: str) -> DataFrame:
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     each = scratch.save(rows.groupBy("fp").agg(first))
     grouped = each.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    stay = scratch.save(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")))
+    stay = scratch.save(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(number)))
     # a row for each document that stays: never a side to broadcast, whatever its size today
-    return mine.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    return mine.join(stay.hint("merge"), number, "left_semi").select(*docs.columns)
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates by op6's links, with all its columns: the smallest
-    doc_id (null last), the first such row."""
-    scratch = Scratch(docs.sparkSession, "simhash-stage")
-    mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = scratch.save(fingerprints(mine, ["doc_id", "__row"]))
-    return _firsts(scratch, docs, mine, rows, fingerprint_groups(scratch, rows))
+    """One row of each group of near-duplicates by op6's links, with all its columns, whatever their names:
+    the smallest doc_id (null last), the first such row. Cases as in `simhash_groups`."""
+    scratch, number = Scratch(docs.sparkSession, "simhash-stage"), free_name(docs, "number")
+    mine = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
+    named = mine.select("doc_id", F.col(number).alias("row"), "text")
+    rows = scratch.save(fingerprints(named, ["doc_id", "row"]))
+    return _firsts(scratch, docs, mine, rows, fingerprint_groups(scratch, rows), number)
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: as `drop_near`, by links of its own. Near are texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more, and all without words; a group is what such
-    links reach."""
-    scratch = Scratch(docs.sparkSession, "simhash-stage")
-    mine = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = scratch.save(_near_rows(mine))
-    return _firsts(scratch, docs, mine, rows, near_groups(scratch, mine, rows))
+    shingles have a Jaccard similarity of 0.8 or more, and all without words (null, empty, blank); a
+    group is what such links reach. Whole texts count, of any length."""
+    scratch, number = Scratch(docs.sparkSession, "simhash-stage"), free_name(docs, "number")
+    mine = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
+    rows = scratch.save(_near_rows(mine, number))
+    return _firsts(scratch, docs, mine, rows, near_groups(scratch, mine, rows, number), number)

@@ -195,16 +195,19 @@ class ArchiveWriter:
         self.zip.writestr(zipfile.ZipInfo("datapackage.json", (1980, 1, 1, 0, 0, 0)), json.dumps({"profile": "data-package", "records": len(self.index)}))
         self.zip.close()
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.path)  # of an attempt before; not every store's move replaces
         self.fs.move(self.part, self.path)
         return self.uri, self.fs.get_file_info(self.path).size, len(self.index)
 
 
 def plan_records(pages: DataFrame, scratch: Scratch, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, html, sha, refers_to): refers_to is null for a response. Digests by JVM functions;
+    """(page_id, url, html, refers_to): refers_to is null for a response. Payloads are equal by SHA-256 (collisions
+    of the record's own SHA-1 can be made), by JVM functions;
     the largest page_id of each payload is found by a combined aggregation, and only payloads that
     occur more than once are joined."""
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    hashed = pages.select("page_id", "url", "html", F.sha1(data).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    hashed = pages.select("page_id", "url", "html", F.sha2(data, 256).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     again = scratch.save(hashed.where(F.col("size") >= least).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"))
     joined = hashed.join(again, "sha", "left")
     return joined.select("page_id", "url", "html", F.when((F.col("size") >= least) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))), F.col("first")).alias("refers_to"))
@@ -283,7 +286,8 @@ def read_records(ranges: DataFrame, with_payload: bool = False) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
     """Write a WARC record for each row of `pages(page_id, url, html, ...)`, read the archives back and
-    return a row for each record. A null html is empty; a payload that occurs again is a revisit of the
+    return a row for each record. A null html is empty, a payload of any length is stored whole (a task
+    starts another archive after ARCHIVE_BYTES); other columns aren't read; a payload that occurs again is a revisit of the
     one with the largest page_id (rows that repeat that page_id are responses too; a null page_id is
     null). Empty input: no archive, empty result."""
     scratch = Scratch(pages.sparkSession, "warc")

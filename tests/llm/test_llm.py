@@ -163,7 +163,7 @@ def test_exact_dedup(spark, rows):
 
 
 def test_cuckoo_index():
-    index, live, rng = CuckooIndex(8), {}, random.Random(1)
+    index, live, rng = CuckooIndex(8), {}, random.Random(1)  # keys of 32 bytes
     for step in range(6000):
         key = hashlib.sha256(str(rng.randrange(1500)).encode()).digest()
         if rng.random() < 0.6:
@@ -173,10 +173,12 @@ def test_cuckoo_index():
             assert index.delete(key) == (live.pop(key, None) is not None)
         assert index.get(key) == live.get(key)
     assert len(index) == len(live) and index.resizes > 3 and all(index.get(k) == v for k, v in live.items())
+    assert dict(index.items()) == live
     same = [b"\1\0" + bytes([i]) * 30 for i in range(40)]  # one fingerprint, many keys
-    for k in same:
-        index.insert(k)
-    assert all(index.get(k) for k in same) and all(index.delete(k) for k in same)
+    for i, k in enumerate(same):
+        index.insert(k, i)
+    assert index.get(same[0][:-1] + b"x") is None and index.false_hits
+    assert all(index.get(k) == i for i, k in enumerate(same)) and all(index.delete(k) for k in same) and len(index) == len(live)
 
 
 def slow_fingerprint(t):
@@ -226,7 +228,7 @@ def test_embeddings(spark, monkeypatch):
     x += [x[0], x[1], [2 * v for v in x[1]], None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [None], [], [1.0, 0.0], [1.0, 0.01]]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, n int")
     got = {r["vec_id"]: r for r in embedding_dedup.embedding_groups(df, recall=0.9999).collect()}
-    ok = [embedding_dedup._valid(v) for v in x]
+    ok = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x]
     link = lambda a, b: ok[a] and ok[b] and len(x[a]) == len(x[b]) and np.dot(x[a], x[b]) / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= 0.95
     want = [sum(link(i, j) for j in range(len(x)) if j != i) for i in range(len(x))]
     assert [got[i]["n_links"] for i in range(len(x))] == want and sum(want) > 20
@@ -333,7 +335,7 @@ def test_mix(spark, rows):
 
 
 def test_mix_gives_small_sources_and_shards_their_words(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
     monkeypatch.setattr(mixing, "SHARD_DOCS", 64)
     texts = [("a", "w " * 40)] * 1500 + [("b", "w")] * 700 + [("c", "v " * 9)] * 30
     docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
@@ -408,11 +410,111 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(d.limit(0), lab).count() == 0
 
 
+def test_choice_of_blocks_against_a_loop_over_words():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        sizes, block = rng.integers(0, 30, 9), int(rng.integers(1, 40))
+        quota = int(rng.integers(0, 3 * sizes.sum() + 1))
+        words = [(d, k) for d, n in enumerate(sizes) for k in range(n)]
+        blocks = [words[i : i + block] for i in range(0, len(words), block)]
+        left, once = quota % max(1, len(words)), set()
+        for b in np.random.default_rng(seed).permutation(len(blocks)):
+            once |= set(blocks[b][:left])
+            left -= min(left, len(blocks[b]))
+        passes, ranges = mixing.choose_words(sizes, quota, block, seed)
+        assert {(d, k) for d, r in enumerate(ranges) for lo, hi in r for k in range(lo, hi)} == once and passes == (quota // len(words) if words else 0)
+        shards = mixing.shard_quotas(sizes, quota, block)
+        assert shards.sum() == quota and (shards <= 3 * sizes).all()
+
+
 def test_interactions_are_learned():
     rng = np.random.default_rng(0)
     rows = [np.array(sorted(set(rng.integers(0, 6, 3).tolist()))) for _ in range(600)]
     y = np.array([float(0 in r and 1 in r) for r in rows])
-    m = toxicity.FactorizationMachine(np.arange(6))
+    m = toxicity.FactorizationMachine(6)
     m.fit(rows, y, epochs=60)
+    assert m.paired
     s = m.score(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
     assert ((s >= 0.5) == (y == 1)).mean() > 0.97
+
+
+def test_pairwise_sum_against_loops():
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine(40, 5)
+    m.paired, m.bias, m.w, m.v = True, 0.3, rng.normal(size=40).astype(np.float32), rng.normal(size=(40, 5)).astype(np.float32)
+    rows = [np.sort(rng.choice(40, n, replace=False)) for n in (0, 1, 2, 7, 0, 30)]
+    raw, sums = m.raw(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for r, got, total in zip(rows, raw, sums):
+        want = 0.3 + sum(float(m.w[i]) for i in r) + sum(float(m.v[i] @ m.v[j]) for a, i in enumerate(r) for j in r[:a])
+        assert got == pytest.approx(want, abs=1e-4) and np.allclose(total, m.v[r].sum(0), atol=1e-5)
+
+
+def pair_texts(rng, n):
+    """Texts that are toxic if an insult meets its own group: each word alone tells nothing."""
+    out = []
+    for _ in range(n):
+        words = [f"filler{x}" for x in rng.integers(0, 300, 20)]
+        a, b = rng.integers(0, 2, 2)
+        words += [f"insult{'AB'[a]}", f"group{'AB'[b]}"]
+        rng.shuffle(words)
+        out.append((" ".join(words), int(a == b)))
+    return out
+
+
+def test_toxicity_that_stands_in_pairs_alone(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, t, y) for i, (t, y) in enumerate(pair_texts(rng, 4000))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    right = {}
+    for factors in (8, 0):
+        model = toxicity.train(docs, labels, factors=factors)
+        got = toxicity.score_documents(docs, model).join(labels, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).collect()
+        right[factors] = np.mean([r["predicted"] == r["toxic"] for r in got])
+    assert right[8] > 0.9 and right[0] < 0.6
+
+
+def test_repeated_ids_are_trained_in_one_order(spark):
+    rows = [(i % 7, f"word{i} text{i % 3} more{i % 5}", i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    a, b = (toxicity.train(docs.repartition(n), labels) for n in (1, 5))
+    assert a.bias == b.bias and (a.w == b.w).all() and (a.v == b.v).all()
+
+
+def test_convolution_and_gradients_against_loops():
+    rng = np.random.default_rng(4)
+    net = language_id.ByteConvNet(["a", "b", "c"])
+    for name in ("embed", "conv", "conv_bias", "dense", "dense_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64) + (0.05 * rng.normal(size=3) if name == "dense_bias" else 0))
+    x = rng.integers(1, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    x[2, 50:] = 0
+    e = np.concatenate([net.embed[x], np.zeros((3, language_id.WIDEST, language_id.EMBED))], 1)
+    got, at = net.pooled(x), 0
+    for width, count in language_id.FILTERS.items():
+        for f in range(at, at + count):
+            kernel = net.conv[: width * language_id.EMBED, f].reshape(width, -1)
+            for n in range(3):
+                want = max(max((e[n, p : p + width] * kernel).sum() for p in range(language_id.WINDOW)) + net.conv_bias[f], 0)
+                assert got[n, f] == pytest.approx(want, abs=1e-6)
+        at += count
+    y = np.array([0, 2, 1])
+    loss = lambda: -net.log_probs(x)[np.arange(3), y].mean()
+    for name, g in zip(("embed", "conv", "conv_bias", "dense", "dense_bias"), net.gradients(x, y)):
+        p = getattr(net, name)
+        for i in rng.permutation(p.size)[:25]:
+            at = np.unravel_index(i, p.shape)
+            if (name == "embed" and at[0] == 0) or (name == "conv" and not net.mask[at]):
+                continue
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5), (name, at)
+
+
+def test_numerals_are_no_letters():
+    net = language_id.ByteConvNet(["de", "en"])
+    assert language_id.predict(net, ["½ ²³ Ⅷ", "٣", "a½", None, "", "__"])[0][:2] == ["und", "und"]
+    assert [n == "und" for n in language_id.predict(net, ["½ ²³ Ⅷ", "٣", "a½", None, "", "__"])[0]] == [True, True, False, True, True, True]
