@@ -1,10 +1,11 @@
 """Removal of repeated byte strings by suffix arrays over shards.
 
-Each string of WINDOW bytes falls to a shard by its minimizer: the least hash of its 32-byte strings,
+Each string of WINDOW bytes falls to a group by its minimizer: the least hash of its strings of 32 bytes,
 which depends on nothing else, so all copies of it meet. Neighbouring strings of a document with the
-same minimizer travel as one stretch. Stretches that are alike as wholes are one before anything is
-sent; a stretch whose minimizer occurs nowhere else holds no repeat. What is left is sorted by
-induction (`induced_sort`), shard by shard, and strings that agree in WINDOW bytes are neighbours there.
+same minimizer travel as one stretch. Equal stretches are one before anything is sent; a stretch
+whose minimizer occurs nowhere else holds no repeat. A group with too many bytes is dealt anew by the
+minimizers of longer and longer strings, at last of WINDOW bytes. What is left is sorted by induction
+(`induced_sort`), group by group, and strings that agree in WINDOW bytes are neighbours there.
 """
 
 from __future__ import annotations
@@ -18,51 +19,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.induced_sort import suffix_order
-from brindle.llm.shared import Scratch, bounded_batches, cell_runs, filesystem_path, run_starts
+from brindle.llm.shared import Scratch, bounded_batches, cell_runs, filesystem_path, run_starts, text_bytes
 
 WINDOW = 100
-GRAM = 32
+#: Bytes of the strings whose hashes are minimized, level by level.
+GRAMS = (32, 64, 92, WINDOW)
 #: Text bytes whose stretches a task brings together before it sends them.
 FLUSH_BYTES = 8 << 20
 #: Text bytes that are hashed at once; a longer text is hashed whole.
 CHUNK_BYTES = 1 << 20
 #: Stretch bytes that are sorted at once, in whole minimizer groups.
 SORT_BYTES = 1 << 20
-#: A minimizer with more different stretches than this is hot: its strings are compared one by one by a
-#: combined aggregation instead of as a group in one task.
-HOT_STRETCHES = 1000
-#: So is one whose stretches have more bytes than this together: sorting takes some 60 bytes for each.
-HOT_BYTES = 4 << 20
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each string of GRAM (32) bytes, by doubling."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    for i in range(5):
-        w = 1 << i
-        h = h[:-w] * _MIX[i] + h[w:]
+#: A group whose different stretches have more bytes together goes to the next level: sorting takes some 60 bytes
+#: for each. On the last level a stretch is a single string, and equal ones are one.
+GROUP_BYTES = 4 << 20
+#: Text bytes for each bucket of stretches: a task holds the records of one at once.
+BUCKET_BYTES = 32 << 20
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each string of `gram` bytes, by doubling."""
+    h, size, i = data.astype(np.uint64) + np.uint64(1), 1, 0
+    while size * 2 <= gram:
+        h = h[:-size] * _MIX[i] + h[size:]
         h ^= h >> np.uint64(29)
+        size, i = size * 2, i + 1
+    if size < gram:
+        h = h[: len(h) - (gram - size)] * _MIX[i] + h[gram - size :]
     h = (h ^ (h >> np.uint64(32))) * _MIX[1]
     return h ^ (h >> np.uint64(29))
 
 
-def minimizers(grams: np.ndarray) -> np.ndarray:
-    """The least gram hash in each string of WINDOW bytes."""
+def minimizers(grams: np.ndarray, span: int) -> np.ndarray:
+    """The least of each `span` hashes in a row."""
     m, size = grams, 1
-    span = WINDOW - GRAM + 1
     while size * 2 <= span:
         m = np.minimum(m[:-size], m[size:])
         size *= 2
     return np.minimum(m[: len(m) - (span - size)], m[span - size :])
 
 
-def held_twice(grams: np.ndarray, v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def held_twice(grams: np.ndarray, span: int, v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Whether stretches (strings first to last) hold their minimizer v at two places, as all do that
     hold some string twice."""
-    span = WINDOW - GRAM + 1
     view = np.lib.stride_tricks.sliding_window_view(grams, span)
     out = last - first >= span
     for k in range(0, len(first), 8192):
@@ -73,67 +73,60 @@ def held_twice(grams: np.ndarray, v: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
-class _Powers:
-    """Powers of the digest's base and of its inverse, as many as needed so far."""
-
-    def __init__(self) -> None:
-        self.n = 0
-        self.table = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, CHUNK_BYTES + 1)
-            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(self.n, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _INVERSE))
-        return self.up, self.down
-
-
-RECORD = np.dtype([("v", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("len", "<i8"), ("twice", "?")])
+#: d and e are the two halves of a 128-bit digest (BLAKE2b) of the stretch's bytes.
+RECORD = np.dtype([("v", "<u8"), ("d", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("len", "<i8"), ("twice", "?")])
 NO_DOC = np.iinfo(np.int64).max
 
 
-def stretches(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, powers: _Powers) -> np.ndarray:
-    """The stretches of some texts: minimizer, digest, document, row, place and length."""
+def stretches(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, offsets: np.ndarray, level: int) -> np.ndarray:
+    """The stretches of some texts, or parts of texts at `offsets`: minimizer, digest, document, row, place and
+    length. On the last level each string is one."""
     long = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
     if not long:
         return np.zeros(0, RECORD)
-    data = np.frombuffer(b"".join(texts[i] for i in long), np.uint8)
+    joined = b"".join(texts[i] for i in long)
+    data = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(texts[i]) for i in long])
     starts = np.cumsum(sizes) - sizes
-    grams = gram_hashes(data)
-    v = minimizers(grams)
+    span = WINDOW - GRAMS[level] + 1
+    grams = gram_hashes(data, GRAMS[level])
+    v = minimizers(grams, span)
     inside = np.zeros(len(data) + 1, np.int8)
     np.add.at(inside, starts, 1)
     np.add.at(inside, starts + sizes - WINDOW + 1, -1)
     valid = np.cumsum(inside, dtype=np.int8)[: len(v)] > 0
-    new = np.append(True, v[1:] != v[:-1])
+    new = np.append(True, v[1:] != v[:-1]) if span > 1 else np.ones(len(v), bool)
     new[starts[starts < len(v)]] = True
     new[1:] |= valid[1:] & ~valid[:-1]
     stop = np.append(new[1:] | ~valid[1:], True) & valid
     first, last = np.flatnonzero(new & valid), np.flatnonzero(stop)
     owner = np.searchsorted(starts, first, side="right") - 1
-    up, down = powers.upto(len(data) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(powers.table[data] * up[: len(data)], dtype=np.uint64))
     out = np.zeros(len(first), RECORD)
     end = last + WINDOW
-    out["v"], out["at"], out["len"] = v[first], first - starts[owner], end - first
-    out["twice"] = held_twice(grams, out["v"], first, last)
-    out["d"] = (sums[end] - sums[first]) * down[first]
     which = np.array(long)[owner]
+    out["v"], out["at"], out["len"] = v[first], first - starts[owner] + offsets[which], end - first
+    out["twice"] = held_twice(grams, span, out["v"], first, last)
+    whole = memoryview(joined)
+    digests = b"".join([hashlib.blake2b(whole[s:e], digest_size=16).digest() for s, e in zip(first.tolist(), end.tolist(), strict=True)])
+    out["d"], out["e"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
     out["doc"], out["row"] = docs[which], rows[which]
     return out
 
 
 def split_first(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(records sorted by minimizer and stretch, which of them are the first of their stretch)."""
-    r = r[np.lexsort((r["at"], r["row"], r["doc"], r["len"], r["d"], r["v"]))]
+    r = r[np.lexsort((r["at"], r["row"], r["doc"], r["len"], r["e"], r["d"], r["v"]))]
     first = np.ones(len(r), bool)
-    first[1:] = (r["v"][1:] != r["v"][:-1]) | (r["d"][1:] != r["d"][:-1]) | (r["len"][1:] != r["len"][:-1])
+    first[1:] = (r["v"][1:] != r["v"][:-1]) | (r["d"][1:] != r["d"][:-1]) | (r["e"][1:] != r["e"][:-1]) | (r["len"][1:] != r["len"][:-1])
     return r, first
 
 
-def _rows_of(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
-    return texts, b.column(1).fill_null(NO_DOC).to_numpy(), b.column(0).to_numpy()
+PIECE = "row long, doc long, at long, content binary"
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """(row, doc, at, content): a piece for each row's text in UTF-8, null as empty."""
+    return docs.select("row", F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), F.lit(0).cast("long").alias("at"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("content"))
 
 
 FOUND = "kind int, v long, doc long, row long, at long, len long"
@@ -143,13 +136,14 @@ def _found(kind: int, r: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(len(r), kind, np.int32)), pa.array(r["v"].view(np.int64) if r["v"].flags.c_contiguous else np.ascontiguousarray(r["v"]).view(np.int64)), *(pa.array(np.ascontiguousarray(r[c])) for c in ("doc", "row", "at", "len"))], names=["kind", "v", "doc", "row", "at", "len"])
 
 
-REMOVED, COLD, HOT = 0, 1, 2
+REMOVED, SORT, DEAL = 0, 1, 2
 
 
-def find_stretches(rows: DataFrame, buckets: int) -> DataFrame:
-    """Stretches to remove as copies of an earlier one, and those that must be compared (COLD, HOT)."""
+def find_stretches(pieces: DataFrame, buckets: int, level: int = 0) -> DataFrame:
+    """Stretches of `pieces(row, doc, at, content)`: those to remove as copies of an earlier one, those to sort,
+    and those of groups that are too large for that and are dealt anew (DEAL)."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = _Powers(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             r, first = split_first(np.concatenate(held))
@@ -159,19 +153,20 @@ def find_stretches(rows: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             r, bucket = r[order], bucket[order]
             cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(r)) if len(r) else []
-            blobs += [(int(bucket[s]), COLD, r[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            blobs += [(int(bucket[s]), SORT, r[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
             b, k, x = zip(*blobs, strict=True) if blobs else ((), (), ())
             return pa.record_batch([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "kind", "blob"])
 
         for b in batches:
-            texts, docs, ids = _rows_of(b)
+            ids, docs, ats = (b.column(i).to_numpy() for i in range(3))
+            texts = b.column(3).to_pylist()
             k = 0
             while k < len(texts):  # some texts at a time; a text is never cut
                 e, n = k, 0
                 while e < len(texts) and (e == k or n + len(texts[e]) <= CHUNK_BYTES):
                     n += len(texts[e])
                     e += 1
-                held.append(stretches(texts[k:e], docs[k:e], ids[k:e], powers))
+                held.append(stretches(texts[k:e], docs[k:e], ids[k:e], ats[k:e], level))
                 size += n
                 k = e
                 if size >= FLUSH_BYTES:
@@ -199,50 +194,33 @@ def find_stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 count = np.repeat(np.diff(np.append(starts, len(r))), np.diff(np.append(starts, len(r))))
                 size = np.repeat(np.add.reduceat(r["len"], starts), np.diff(np.append(starts, len(r))))
                 alone = (count == 1) & ~r["twice"]
-                hot = (count > HOT_STRETCHES) | (size > HOT_BYTES)
-                for kind, pick in ((COLD, ~alone & ~hot), (HOT, ~alone & hot)):
+                large = (size > GROUP_BYTES) & (level < len(GRAMS) - 1)
+                for kind, pick in ((SORT, ~alone & ~large), (DEAL, ~alone & large)):
                     if pick.any():
                         yield _found(kind, r[pick])
 
-    sent = rows.mapInArrow(send, "bucket int, kind int, blob binary")
+    sent = pieces.mapInArrow(send, "bucket int, kind int, blob binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND)
 
 
-#: Digests of hot strings that are handed on at once.
-CUT_ROWS = 1 << 16
-CUT = "kind int, v long, w long, doc long, row long, at long, content binary"
-
-
-def cut_stretches(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The bytes of stretches to compare; of hot ones, a digest of each string of WINDOW bytes."""
-    wanted = found.where(f"kind <> {REMOVED}").groupBy("row").agg(F.collect_list(F.struct("kind", "v", "at", "len")).alias("want"))
-    joined = rows.join(wanted, "row").select("row", "doc", "text", "want")
-
-    def batch(out: list[tuple], doc: int, row: int) -> pa.RecordBatch:
-        kind, v, w2, at, part = zip(*out, strict=True)
-        n = len(out)
-        return pa.record_batch([pa.array(kind, pa.int32()), pa.array(v, pa.int64()), pa.array(w2, pa.int64()), pa.array(np.full(n, doc)), pa.array(np.full(n, row)), pa.array(at, pa.int64()), pa.array(part, pa.binary())], names=["kind", "v", "w", "doc", "row", "at", "content"])
+def cut_stretches(rows: DataFrame, found: DataFrame, kind: int) -> DataFrame:
+    """(v, row, doc, at, content): the bytes of the stretches of a kind. `rows(row, doc, at, content)` are the
+    whole texts."""
+    wanted = found.where(F.col("kind") == kind).groupBy("row").agg(F.collect_list(F.struct("v", "at", "len")).alias("want"))
+    joined = rows.join(wanted.hint("merge"), "row").select("row", "doc", "content", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, docs, ids = _rows_of(b)
-            for k, want in enumerate(b.column(3).to_pylist()):
-                out: list[tuple] = []
-                for w in want:
-                    part = texts[k][w["at"] : w["at"] + w["len"]]
-                    if w["kind"] == COLD:
-                        out.append((COLD, w["v"], 0, w["at"], part))
-                    else:
-                        for i in range(len(part) - WINDOW + 1):
-                            if len(out) >= CUT_ROWS:
-                                yield batch(out, docs[k], ids[k])
-                                out = []
-                            d = hashlib.blake2b(part[i : i + WINDOW], digest_size=16).digest()
-                            out.append((HOT, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), w["at"] + i, None))
-                if out:
-                    yield batch(out, docs[k], ids[k])
-
-    return joined.mapInArrow(run, CUT)
+            for i in range(b.num_rows):
+                text, flat = b.column(2)[i].as_py(), b.column(3).slice(i, 1).flatten()
+                v, at, size = (flat.field(k).to_numpy() for k in range(3))
+                parts = [text[s : s + n] for s, n in zip(at.tolist(), size.tolist(), strict=True)]
+                cuts = np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_BYTES, prepend=0)).tolist()
+                for s, e in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                    if e > s:
+                        yield pa.record_batch([pa.array(v[s:e]), *(pa.array(np.full(e - s, b.column(k)[i].as_py())) for k in (0, 1)), pa.array(at[s:e]), pa.array(parts[s:e], pa.binary())], names=["v", "row", "doc", "at", "content"])
+
+    return joined.mapInArrow(run, f"v long, {PIECE}")
 
 
 def repeats_in(contents: list[bytes], depth: int = WINDOW, folder: str | None = None) -> list[list[tuple[int, int]]]:
@@ -274,7 +252,7 @@ SPAN = "row long, start long, stop long"
 
 
 def sort_shards(cut: DataFrame, folder: str | None) -> DataFrame:
-    """(row, start, stop) of bytes that repeat, from the suffix arrays of the cold stretches."""
+    """(row, start, stop) of bytes that repeat, from the suffix arrays of the stretches of each group."""
     def solve(v: list[int], doc: list[int], row: list[int], at: list[int], content: list[bytes]) -> pa.RecordBatch:
         order = sorted(range(len(v)), key=lambda i: (doc[i], row[i], at[i]))
         spans = repeats_in([content[i] for i in order], folder=folder)
@@ -297,16 +275,7 @@ def sort_shards(cut: DataFrame, folder: str | None) -> DataFrame:
         if held[0]:
             yield solve(*held)
 
-    cold = cut.where(f"kind = {COLD}").select("v", "doc", "row", "at", "content")
-    return cold.repartition("v").sortWithinPartitions("v").mapInArrow(run, SPAN)
-
-
-def compare_hot(scratch: Scratch, cut: DataFrame) -> DataFrame:
-    """(row, start, stop) of the strings of hot stretches that begin earlier too."""
-    hot = cut.where(f"kind = {HOT}").select("v", "w", "doc", "row", "at")
-    first = scratch.save(hot.groupBy("v", "w").agg(F.min(F.struct("doc", "row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("v", "w", F.col("f.row").alias("first_row"), F.col("f.at").alias("first_at")))
-    again = hot.join(first, ["v", "w"]).where("row <> first_row or at <> first_at")
-    return again.select("row", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("stop"))
+    return cut.select("v", "doc", "row", "at", "content").repartition("v").sortWithinPartitions("v").mapInArrow(run, SPAN)
 
 
 def remove_repeated_bytes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -314,21 +283,28 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch | None = None) -> Da
 
     Texts are read as UTF-8 bytes, null as empty; matches never cross documents. Each byte goes that a
     string of 100 bytes covers which also begins earlier: in a document of smaller doc_id (null last;
-    equal ids by row), or before in the same one. `docs` is read once and its rows are kept with
-    their numbers, which a second scan may deal otherwise. Empty input: empty result.
+    equal ids by row), or before in the same one. A text of any length is one text; repeated rows lose
+    all but the first's bytes. Other columns aren't read. `docs` is read once and its rows are kept
+    with their numbers, which a second scan may deal otherwise. Empty input: empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = scratch or Scratch(spark, "suffix")
     rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), "text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.save(find_stretches(rows, buckets))
-    cut = scratch.save(cut_stretches(rows, found))
-    plain = found.where(f"kind = {REMOVED}").select("row", F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("stop"))
-    spans = plain.unionByName(sort_shards(cut, filesystem_path(scratch.root))).unionByName(compare_hot(scratch, cut))
+    texts = whole_texts(rows)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // BUCKET_BYTES))
+    pieces, spans = texts, None
+    for level in range(len(GRAMS)):
+        found = scratch.save(find_stretches(pieces, buckets, level))
+        plain = found.where(f"kind = {REMOVED}").select("row", F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("stop"))
+        cut = scratch.save(cut_stretches(texts, found, SORT))
+        more = plain.unionByName(sort_shards(cut, filesystem_path(scratch.root)))
+        spans = more if spans is None else spans.unionByName(more)
+        if found.where(f"kind = {DEAL}").isEmpty():
+            break
+        pieces = scratch.save(cut_stretches(texts, found, DEAL).drop("v"))
     spans = scratch.save(spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    scratch.drop(found, cut)
-    joined = rows.join(spans, "row", "left").select("doc", "text", "spans")
+    joined = rows.join(spans.hint("merge"), "row", "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -88,23 +88,31 @@ def test_units_tile_the_text():
 def brute_spans(docs, depth=100):
     seen, out = set(), []
     for b in docs:
-        gone = bytearray(len(b))
+        gone = bytearray(len(b) + 1)
         for k in range(len(b) - depth + 1):
             if b[k : k + depth] in seen:
                 gone[k : k + depth] = b"\1" * depth
             seen.add(b[k : k + depth])
-        out.append((len(b), sum(gone), bytes(x for x, g in zip(b, gone) if not g)))
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b)))
+        out.append((len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
     return out
 
 
 def test_suffix_dedup(spark, rows, monkeypatch):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefg ") for _ in range(95))  # shorter than a string, in many surroundings
+    rows = rows + [(200 + i, "".join(rng.choice("xyz") for _ in range(40)) + passage + "".join(rng.choice("xyz") for _ in range(rng.randrange(40))), "a") for i in range(40)]
+    rows += [(300, "short ä" * 40, "a"), (301, "ab" * 700, "a"), (302, "ab" * 900 + "ba" * 90, "a"), (303, rows[-3][1] + rows[-5][1], "b")]
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     want = brute_spans([(t or "").encode() for _, t, _ in order])
-    for hot in (1000, 1):  # the group's way, and the way of hot ones
-        monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
+    for most in (4 << 20, 2000, 1):  # groups are sorted; large ones, or all, are dealt anew level by level
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", most)
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+        monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 5000)
+        monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 9000)
         got = suffix_dedup.remove_repeated_bytes(make_docs(spark, rows)).collect()
-        key = lambda r: (r[0] is None, r[0] or 0, -r[3] if len(r) > 3 else 0)
-        assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[2])) == sorted(((o[0], *w) for o, w in zip(order, want)), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+        key = lambda r: (r[0] is None, r[0] or 0, r[2])
+        assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=key) == sorted(((o[0], *w) for o, w in zip(order, want)), key=key)
     assert suffix_dedup.remove_repeated_bytes(make_docs(spark, rows).limit(0)).count() == 0
 
 
@@ -119,15 +127,14 @@ def test_suffix_dedup_of_a_table_that_is_dealt_anew(spark):
     assert got == want and sum(n >= 150 for n, _ in got.values()) == 19
 
 
-def test_suffix_groups_are_hot_by_bytes(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 20_000)
-    monkeypatch.setattr(suffix_dedup, "CUT_ROWS", 1000)
+def test_large_suffix_groups_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 20_000)
     texts = ["ab" * (1000 + 37 * i) for i in range(20)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     scratch = suffix_dedup.Scratch(spark, "test")
     rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc"), "text"))
-    kinds = {r["kind"] for r in suffix_dedup.find_stretches(rows, 4).collect()}
-    assert suffix_dedup.COLD not in kinds and suffix_dedup.HOT in kinds
+    kinds = {r["kind"] for r in suffix_dedup.find_stretches(suffix_dedup.whole_texts(rows), 4).collect()}
+    assert suffix_dedup.SORT not in kinds and suffix_dedup.DEAL in kinds
     got = sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeated_bytes(docs).collect())
     assert got == [(0, len(texts[0]) - 2)] + [(i, len(t)) for i, t in enumerate(texts)][1:]
 
