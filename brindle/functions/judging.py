@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brindle.functions.text import let, strip
+from brindle.functions.text import draw_number, let, strip
 
 # Phrases that deny or affirm relevance.
 NEGATIVE_PHRASES = ["not relevant", "unrelated", "no connection", "nothing to do", "does not match", "wrong topic", "irrelevant", "no overlap", "not what the user", "not a match", "misleading"]
@@ -104,4 +104,4 @@ def judge(samples: Column, reasons: Column, extra: Column, extra_reasons: Column
 
 def synthetic_grade(*keys: Column) -> Column:
     """A stable made-up grade for dry runs."""
-    return F.pmod(F.xxhash64(*keys), F.lit(3)).cast("int")
+    return draw_number(F.lit(3), *keys)

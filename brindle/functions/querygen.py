@@ -10,11 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.text import ascii_tokens, let, strip
+from brindle.functions.text import ascii_tokens, draw_number, let, strip
 
 # Query categories and their shares, length bins, genre words in order, function words.
 CATEGORY_WEIGHTS = {"title_lookup": 0.20, "author": 0.15, "genre_topic": 0.30, "exploratory": 0.25, "combined": 0.10}
-DIFFICULTY_TARGETS = {"easy": 0.30, "medium": 0.40, "hard": 0.30}
 LENGTH_BINS = [("short", 0, 174), ("medium", 175, 887), ("long", 888, 999_999)]
 HONORIFICS = ["dr. ", "dr ", "prof. ", "prof ", "sir ", "lady ", "rev. ", "rev "]
 GENRES = {
@@ -26,10 +25,14 @@ GENRES = {
     "technology": "technology", "computer": "technology", "mathematics": "science", "psychology": "psychology",
     "sociology": "social_science", "law": "law", "business": "business", "sports": "sports",
 }
-STOPWORDS = """a an the and or but in on at to for of with by from is it as was are be been being have has had do does did
-will would could should may might shall can not no nor so if then than that this these those i me my we our you your he him
-his she her they them their its what which who whom how when where why all each every both few more most other some such
-only own same about up out just also very s t d m re ll ve book books novel novels story stories""".split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it", "as", "was", "are", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "not", "no", "nor", "so",
+    "if", "then", "than", "that", "this", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "they", "them",
+    "their", "its", "what", "which", "who", "whom", "how", "when", "where", "why", "all", "each", "every", "both", "few", "more", "most", "other", "some",
+    "such", "only", "own", "same", "about", "up", "out", "just", "also", "very", "s", "t", "d", "m", "re", "ll", "ve", "book", "books", "novel", "novels",
+    "story", "stories",
+]
 NEAR_DUPLICATE = 0.75
 RARE_SHARE = 0.001
 GOLD_CAP = 50
@@ -75,21 +78,27 @@ def jaccard(query: Column, document: Column) -> Column:
     return let(F.struct(F.array_distinct(content_tokens(query)).alias("q"), F.array_distinct(content_tokens(document)).alias("d")), of)
 
 
-def longest_shared_run(query: Column, document: Column, most: int = 64) -> Column:
-    """Length of the longest run of words in both, by looking each run of the query up in the document
-    as text, the longest first. Queries of more than `most` words are searched by runs up to that many."""
-    def of(p: Column) -> Column:
-        q, text = p["q"], p["text"]
+@F.pandas_udf(T.IntegerType())
+def _longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common run of two lists of words: a table of runs, row by row, whose row depends on the one
+    before alone. No built-in function has it."""
+    def one(q: list[str], d: list[str]) -> int:
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(d):
+            places.setdefault(w, []).append(j)
+        best, last = 0, {}
+        for w in q:
+            now = {j: last.get(j - 1, 0) + 1 for j in places.get(w, ())}
+            best = max(best, max(now.values(), default=0))
+            last = now
+        return best
 
-        def found(n: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(q) - n + 1)
-            return F.exists(starts, lambda s: F.contains(text, F.concat(F.lit(" "), F.array_join(F.slice(q, s, n), " "), F.lit(" "))))
+    return pd.Series([one(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
 
-        sizes = F.reverse(F.sequence(F.lit(1), F.least(F.size(q), F.lit(most))))
-        return F.when(F.size(q) == 0, 0).otherwise(F.coalesce(F.get(F.filter(sizes, found), F.lit(0)), F.lit(0))).cast("int")
 
-    words = F.concat(F.lit(" "), F.array_join(ascii_tokens(document), " "), F.lit(" "))
-    return let(F.struct(ascii_tokens(query).alias("q"), words.alias("text")), of)
+def longest_shared_run(query: Column, document: Column) -> Column:
+    """Length of the longest run of words that both have, of any length."""
+    return _longest_run(ascii_tokens(query), ascii_tokens(document))
 
 
 def dedup_form(c: Column) -> Column:
@@ -123,7 +132,7 @@ def gold_is_complete(category: Column) -> Column:
 
 def pick(options: Column, *keys: Column) -> Column:
     """One of an array by a hash of keys; null of an empty one."""
-    return F.get(options, F.pmod(F.xxhash64(*keys), F.greatest(F.size(options), F.lit(1))).cast("int"))
+    return F.get(options, draw_number(F.greatest(F.size(options), F.lit(1)), *keys))
 
 
 def swap_typo(text: Column, position: Column) -> Column:
@@ -133,7 +142,7 @@ def swap_typo(text: Column, position: Column) -> Column:
 
 def title_typo(title: Column, *keys: Column) -> Column:
     inside = F.greatest(F.length(title) - 2, F.lit(1))
-    return F.when(F.length(title) < 4, title).otherwise(swap_typo(title, (1 + F.pmod(F.xxhash64(*keys), inside)).cast("int")))
+    return F.when(F.length(title) < 4, title).otherwise(swap_typo(title, 1 + draw_number(inside, *keys)))
 
 
 def title_part(title: Column, *keys: Column) -> Column:
@@ -141,7 +150,7 @@ def title_part(title: Column, *keys: Column) -> Column:
     words = F.split(strip(title), r"\s+")
     n = F.size(words)
     low = F.greatest(F.lit(1), F.floor(n / 2)).cast("int")
-    keep = (low + F.pmod(F.xxhash64(*keys), F.greatest(n - low, F.lit(1)))).cast("int")
+    keep = low + draw_number(F.greatest(n - low, F.lit(1)), *keys)
     return F.when(F.contains(title, F.lit(":")), strip(F.substring_index(title, ":", 1))).when(n <= 2, title).otherwise(F.array_join(F.slice(words, F.lit(1), keep), " "))
 
 
@@ -191,7 +200,7 @@ def known_item_partial(title: Column) -> Column:
 def known_item_typo(title: Column, *keys: Column) -> Column:
     """A swap inside one word of more than three letters; shorter titles stay."""
     def typo(word: Column) -> Column:
-        return swap_typo(word, (1 + F.pmod(F.xxhash64(*keys, F.lit("pos")), F.greatest(F.length(word) - 2, F.lit(1)))).cast("int"))
+        return swap_typo(word, 1 + draw_number(F.greatest(F.length(word) - 2, F.lit(1)), *keys, F.lit("pos")))
 
     def of(p: Column) -> Column:
         at = pick(p["long"], *keys)

@@ -32,6 +32,8 @@ EMBED_DESCRIPTION = 2000
 EMBED_SUBJECTS = 10
 PASSAGE_DESCRIPTION = 1500
 PASSAGE_SUBJECTS = 5
+POOL_SUBJECTS = 8
+POOL_DESCRIPTION = 500
 
 # Fixed value: descriptions that say nothing.
 BOILERPLATE = (
@@ -39,7 +41,8 @@ BOILERPLATE = (
     r"no synopsis(?: available)?|currently unavailable|n/?a|none|tba|tbd)\s*[.!]*\s*$"
 )
 
-SPACE = r"[\s\u0085   -     　\u001c-\u001f]"
+# Fixed value: what counts as white space at the ends of a text, Unicode's included.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use) -> Column:
@@ -49,8 +52,19 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim all white space, Unicode's too; Spark's trim takes spaces alone."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Trim all white space, Unicode's too, from both ends; what lies between isn't looked at."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def draw(*keys: Column | str) -> Column:
+    """A stable draw from keys (names of columns, or Columns): the MD5 of their texts, as other engines have it
+    too. Its order is a shuffle, and `draw_number` of it a die."""
+    return F.md5(F.concat_ws("|", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))
+
+
+def draw_number(sides: Column, *keys: Column | str) -> Column:
+    """0 to sides - 1 from the first eight digits of the keys' draw."""
+    return F.pmod(F.conv(F.substring(draw(*keys), 1, 8), 16, 10).cast("long"), sides).cast("int")
 
 
 def fix_mojibake(c: Column) -> Column:
@@ -114,9 +128,11 @@ def ascii_tokens(c: Column) -> Column:
 
 
 # Function words that document frequencies of titles leave out.
-TITLE_STOPWORDS = """a an the of and or in on at to for is it by with from as be was are were been has had have do does
-did not no but if than that this its my his her our their he she we they me him us them who what so up out all about into
-over after before""".split()
+TITLE_STOPWORDS = [
+    "a", "an", "the", "of", "and", "or", "in", "on", "at", "to", "for", "is", "it", "by", "with", "from", "as", "be", "was", "are", "were", "been", "has",
+    "had", "have", "do", "does", "did", "not", "no", "but", "if", "than", "that", "this", "its", "my", "his", "her", "our", "their", "he", "she", "we",
+    "they", "me", "him", "us", "them", "who", "what", "so", "up", "out", "all", "about", "into", "over", "after", "before",
+]
 
 
 def title_tokens(c: Column) -> Column:
@@ -196,5 +212,29 @@ def cover_url(cover_id: Column, isbn: Column) -> Column:
         F.nullif(isbn, F.lit("")).isNotNull(), F.concat(F.lit(base + "isbn/"), isbn, F.lit("-M.jpg?default=false")))
 
 
+def subject_badge(subjects: Column, shown: int = 3) -> Column:
+    """The first subjects, and how many more there are: "a, b, c +2 more"."""
+    more = F.size(subjects) - shown
+    return F.concat(F.array_join(F.slice(subjects, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def pooled_document(work_id: Column, title: Column, authors: Column, subjects: Column, description: Column) -> Column:
+    """A document of a pool, as a judge sees it: plain id, eight subjects, 500 characters."""
+    return F.struct(plain_id(work_id).alias("work_id"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(authors, F.lit("")).alias("authors"), F.slice(F.coalesce(subjects, F.array().cast("array<string>")), 1, POOL_SUBJECTS).alias("subjects"), F.substring(F.coalesce(description, F.lit("")), 1, POOL_DESCRIPTION).alias("description"))
+
+
+def wrap_lines(text: Column, width: int, most: int) -> Column:
+    """Words in lines of at most `width` characters, at most `most` of them; what is cut is marked " ...".
+    A word that is longer has a line of its own."""
+    def add(done: Column, word: Column) -> Column:
+        last = F.coalesce(F.element_at(done, -1), F.lit(""))
+        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(word) <= width)
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", last, word)))).otherwise(F.concat(done, F.array(word)))
+
+    words = F.filter(F.split(strip(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    lines = F.aggregate(words, F.array().cast("array<string>"), add)
+    return let(lines, lambda ls: F.when(F.size(ls) > most, F.concat(F.slice(ls, 1, most - 1), F.array(F.concat(F.get(ls, F.lit(most - 1)), F.lit(" ..."))))).otherwise(ls))
+
+
 def join_authors(authors: Column) -> Column:
     return F.array_join(F.filter(authors, lambda a: a.isNotNull() & (a != "")), ", ")

@@ -66,9 +66,13 @@ def contradictions(judgments: DataFrame) -> DataFrame:
     return judgments.where("contradiction").select("query", "work_id", "grade", "reasoning", F.col("contradiction_detail").alias("detail"))
 
 
-def gold_agreement(queries: DataFrame, judgments: DataFrame) -> DataFrame:
-    """How the judge grades gold documents: queries(query, gold_work_ids) against judgments."""
-    gold = queries.select("query", F.explode(F.array_distinct("gold_work_ids")).alias("work_id"))
+def gold_pairs(queries: DataFrame) -> DataFrame:
+    """(query, work_id) of queries(query, gold_work_ids)."""
+    return queries.select("query", F.explode(F.array_distinct("gold_work_ids")).alias("work_id"))
+
+
+def gold_agreement(gold: DataFrame, judgments: DataFrame) -> DataFrame:
+    """How the judge grades gold documents: gold(query, work_id) against judgments."""
     last = judgments.groupBy("query", "work_id").agg(F.max_by("grade", "pos").alias("grade"))
     n = F.count("*")
 
@@ -78,8 +82,7 @@ def gold_agreement(queries: DataFrame, judgments: DataFrame) -> DataFrame:
     return gold.join(last, ["query", "work_id"]).agg(n.alias("gold_pairs"), rate(F.col("grade") == 2).alias("rate_grade_2"), rate(F.col("grade") > 0).alias("rate_grade_gt0"), rate(F.col("grade") == 0).alias("rate_grade_0"))
 
 
-def gold_misses(queries: DataFrame, judgments: DataFrame) -> DataFrame:
-    gold = queries.select("query", F.explode(F.array_distinct("gold_work_ids")).alias("work_id"))
+def gold_misses(gold: DataFrame, judgments: DataFrame) -> DataFrame:
     return gold.join(judgments.where("grade = 0"), ["query", "work_id"], "left_semi")
 
 

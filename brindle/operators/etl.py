@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.text import MAX_AUTHORS, MAX_SUBJECTS, clean_description, english_by_stopwords, split_list, strip, usable, work_id
+from brindle.functions.text import MAX_AUTHORS, MAX_SUBJECTS, clean_description, draw, english_by_stopwords, split_list, strip, usable, work_id
 
 # The tier of a book without one, and the name of the raw data.
 UNKNOWN_TIER = 99
@@ -26,7 +26,8 @@ def drop_ambiguous(rows: DataFrame, text: str = "desc", author: str = "author")
     """Without texts that several authors share. Texts are compared by a digest, so that long ones
     aren't shuffled twice; only the ambiguous digests are joined."""
     keyed = rows.withColumn("__digest", F.sha2(strip(F.col(text)), 256))
-    shared = keyed.groupBy("__digest").agg(F.countDistinct(F.lower(strip(F.col(author)))).alias("authors")).where("authors > 1")
+    who = F.lower(strip(F.col(author)))
+    shared = keyed.groupBy("__digest").agg(F.min(who).alias("a"), F.max(who).alias("z")).where("a < z")
     return keyed.join(shared, "__digest", "left_anti").drop("__digest")
 
 
@@ -51,7 +52,7 @@ def unique_ids(books: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "row_idx") -> DataFrame:
     """n rows without replacement, the same ones for a seed however the data are dealt, in key order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
+    return df.orderBy(draw(key, F.lit(seed)), key).limit(n).orderBy(key)
 
 
 def build_corpus(raw: DataFrame, limit: int | None = None, seed: int = 42, keep_non_english: bool = False, lang: str | None = None) -> DataFrame:
@@ -106,6 +107,18 @@ def slices(df: DataFrame, size: int = 500, start: int = 0, count: int | None = N
     return out.where(F.col("batch") < start + count) if count is not None else out
 
 
+def by_start(shards: DataFrame) -> DataFrame:
+    """Shards in the order of the corpus."""
+    return shards.orderBy("start_idx", "work_id")
+
+
+def duplicate_examples(df: DataFrame, key: str = "work_id", most: int = 5) -> DataFrame:
+    """One row: how many ids occur more than once, and the first few of them."""
+    twice = df.groupBy(key).count().where("count > 1").select(key)
+    some = twice.orderBy(key).limit(most).agg(F.sort_array(F.collect_list(key)).alias("examples"))
+    return twice.agg(F.count("*").alias("duplicates")).crossJoin(some)  # one row each
+
+
 def missing(ids: DataFrame, known: DataFrame, key: str = "work_id") -> DataFrame:
     return ids.join(known.select(key), key, "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.judging import judge, pair_key
+from brindle.functions.text import draw
 
 
 def prompt(query: Column, title: Column, authors: Column, description: Column, subjects: Column, seed: Column | None = None) -> Column:
@@ -13,7 +14,7 @@ def prompt(query: Column, title: Column, authors: Column, description: Column, s
     tags = F.coalesce(F.nullif(F.array_join(F.slice(subjects, 1, 15), ", "), F.lit("")), F.lit("none"))
     fields = F.array(F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Authors: "), F.coalesce(authors, F.lit(""))), F.concat(F.lit("Description: "), F.coalesce(F.substring(description, 1, 500), F.lit(""))), F.concat(F.lit("Subjects: "), tags))
     if seed is not None:
-        keyed = F.array_sort(F.transform(fields, lambda f: F.struct(F.xxhash64(f, seed).alias("h"), f.alias("f"))))
+        keyed = F.array_sort(F.transform(fields, lambda f: F.struct(draw(f, seed).alias("h"), f.alias("f"))))
         fields = F.transform(keyed, lambda k: k["f"])
     return F.concat(F.lit("Query: "), query, F.lit("\n\n"), F.array_join(fields, "\n"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from brindle.operators.ranking import small_side
+
 
 def judged(rankings: DataFrame, grades: DataFrame) -> DataFrame:
     """Each ranked document with its grade; an unjudged one counts 0."""
@@ -16,12 +18,14 @@ def judged(rankings: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def ideal_dcg(grades: DataFrame, k: int = 10) -> DataFrame:
-    """(query, idcg, relevant): the best order of all judged documents, and how many are relevant."""
+    """(query, idcg, relevant_total): the best order of all judged documents, and how many are relevant. Each
+    query's documents are cut to the k best before they meet; the count is combined on the map side."""
+    known = grades.where("grade is not null")
     w = W.partitionBy("query").orderBy(F.col("grade").desc(), "work_id")
-    ranked = grades.where("grade is not null").withColumn("place", F.row_number().over(w))
-    return ranked.groupBy("query").agg(
-        F.sum(F.when((F.col("place") <= k) & (F.col("grade") > 0), F.col("grade") / F.log2(F.col("place") + 1)).otherwise(0.0)).alias("idcg"),
-        F.count_if(F.col("grade") > 0).alias("relevant_total"))
+    best = known.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    gain = F.when(F.col("grade") > 0, F.col("grade") / F.log2(F.col("place") + 1)).otherwise(0.0)
+    total = known.groupBy("query").agg(F.count_if(F.col("grade") > 0).alias("relevant_total"))
+    return total.join(best.groupBy("query").agg(F.sum(gain).alias("idcg")), "query").select("query", "idcg", "relevant_total")
 
 
 def query_metrics(rankings: DataFrame, grades: DataFrame, k: int = 10, at_least: int = 1) -> DataFrame:
@@ -90,7 +94,7 @@ def known_item_accuracy(items: DataFrame, rankings: DataFrame, *by: str) -> Data
     item that a mode missed, or that failed, counts as a miss."""
     modes = rankings.select("mode").distinct()
     found = rankings.groupBy("mode", "query", "work_id").agg(F.min("rank").alias("rank"))
-    rows = items.crossJoin(F.broadcast(modes)).join(found, ["mode", "query", "work_id"], "left")  # modes: a handful
+    rows = items.crossJoin(small_side(modes)).join(found, ["mode", "query", "work_id"], "left")
     return rows.groupBy("mode", *by).agg(
         F.count("*").alias("total"), F.count_if(F.col("rank") == 1).alias("hits_at_1"), F.count_if(F.col("rank") <= 5).alias("hits_at_5"),
         F.round(F.count_if(F.col("rank") == 1) / F.count("*"), 4).alias("accuracy_at_1"), F.round(F.count_if(F.col("rank") <= 5) / F.count("*"), 4).alias("accuracy_at_5"),
@@ -117,5 +121,31 @@ def leading_mode(mode: str) -> tuple[str, bool]:
     return (mode.removesuffix("+rerank"), True) if mode.endswith("+rerank") else (mode, False)
 
 
-def expected_gain(rank: int) -> float:
-    return 1.0 / math.log2(rank + 1)
+def missing_queries(rankings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(mode, query) that a mode has no result for: left out of every paired comparison."""
+    asked = queries.select("query").distinct().crossJoin(small_side(rankings.select("mode").distinct()))
+    return asked.join(rankings.select("mode", "query").distinct(), ["mode", "query"], "left_anti").select("mode", "query")
+
+
+def with_category(per_query: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each query's category, "unknown" where it has none."""
+    known = queries.groupBy("query").agg(F.min("category").alias("category"))
+    return per_query.drop("category").join(known, "query", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+
+
+def random_mrr_trials(pools: DataFrame, trials: int = 2000, seed: int = 42, k: int = 10) -> DataFrame:
+    """(query, random_mrr) of pools(query, pool, relevant) by shuffles: the mean of the first relevant place's
+    reciprocal over seeded random orders, 0 beyond k. `random_mrr` is its expectation in closed form."""
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for query, pool, relevant in zip(pdf["query"], pdf["pool"], pdf["relevant"], strict=True):
+                rng = random.Random(f"{seed}|{query}")
+                total = 0.0
+                for _ in range(trials if pool and relevant else 0):
+                    first = min(rng.sample(range(pool), relevant))
+                    total += 1.0 / (first + 1) if first < k else 0.0
+                out.append(round(total / trials, 6))
+            yield pdf[["query"]].assign(random_mrr=out)
+
+    return pools.select("query", "pool", "relevant").mapInPandas(run, f"query {pools.schema['query'].dataType.simpleString()}, random_mrr double")

@@ -15,8 +15,11 @@ MAX_BROADCAST_BYTES = 64 << 20
 
 
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint behind a check of the size: rows where they are known, else the plan's estimate.
-    A larger side is left to the optimizer, which shuffles it."""
+    """A broadcast hint behind a check of the size: rows where they are known, else they are counted if the plan
+    multiplies rows (the optimizer's estimate doesn't), else that estimate. A larger side is left to the
+    optimizer, which shuffles it."""
+    if rows is None and "Generate" in df._jdf.queryExecution().optimizedPlan().toString():
+        rows = df.limit(MAX_BROADCAST_ROWS + 1).count()
     if rows is not None:
         return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -34,10 +37,6 @@ def top_k(df: DataFrame, k: int, group: list[str], score: str = "score", key: st
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def rank_key(work_id: Column, row_id: Column) -> Column:
-    return F.coalesce(F.nullif(work_id.cast("string"), F.lit("")), row_id.cast("string"), F.lit(""))
-
-
 def reciprocal_rank_fusion(arms: list[DataFrame], group: list[str], key: str = "key", k: int = 2, rank_base: int = 0, rank: str = "rank") -> DataFrame:
     """Fuse ranked arms (rank from 1): the sum of 1 / (k + rank), the rank counted from `rank_base`. What
     is in one arm alone stays. The served constants are k=2 from 0; k=60 from 1 are the documented ones."""

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from brindle.functions.text import sparse_tokens
 from brindle.operators.ranking import small_side, top_k
 
+#: Terms of a batch of queries that are named to the scan.
+PUSHED_TERMS = 400
+
 
 def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf): counts are combined on the map side."""
@@ -27,12 +30,23 @@ def weigh(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
 
 
 def keyword_scores(postings: DataFrame, query_weights: DataFrame, key: str = "key") -> DataFrame:
-    """(qid, key, score): cosine over shared terms. The queries' side is broadcast if it is small, so
+    """(qid, key, score): cosine over shared terms. The queries' side is broadcast if its rows are few, so
     postings are read once and partial sums are combined before the shuffle."""
     q = small_side(query_weights.select("qid", "term", F.col("w").alias("wq")))
     return postings.join(q, "term").groupBy("qid", key).agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
 
 
+def search(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, k: int, key: str = "key") -> DataFrame:
+    """(qid, key, score, rank) of `queries(qid, query)` over stored postings and vocabulary. Where the queries
+    have few terms, these are pushed into the scan: postings are clustered by term, so most row groups
+    are skipped. A query with no known term has no hit."""
+    counts = term_counts(queries, "qid", F.col("query"))
+    terms = [r["term"] for r in counts.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(terms) <= PUSHED_TERMS:
+        postings, vocabulary = postings.where(F.col("term").isin(terms)), vocabulary.where(F.col("term").isin(terms))
+    return top_k(keyword_scores(postings, weigh(counts, vocabulary, "qid"), key), k, ["qid"], key=key)
+
+
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", text: str = "text", query: str = "query") -> DataFrame:
     """Fit, and search `queries(qid, query)`: (qid, key, score, rank). A query with no known term has no
     hit."""

@@ -74,11 +74,17 @@ def closest_terms(words: DataFrame, dictionary: DataFrame, distance: int = MAX_D
     return close.withColumn("n", F.row_number().over(w)).where("n = 1").select("word", "term", "distance")
 
 
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(qid, pos, raw, word, asked) of the words of queries(qid, query): words of up to two characters and numbers
+    aren't asked for."""
+    split = queries.select("qid", F.posexplode(F.split(F.trim(F.regexp_replace("query", r"\s+", " ")), " ")).alias("pos", "raw"))
+    return split.withColumn("word", F.lower("raw")).withColumn("asked", (F.length("raw") > 2) & ~F.col("raw").rlike(r"^\d+$"))
+
+
 def correct(queries: DataFrame, dictionary: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """Queries(qid, query) with corrected and was_corrected. Words of up to two characters and numbers
     stay, and so does a known word, in its own case."""
-    split = queries.select("qid", F.posexplode(F.split(F.trim(F.regexp_replace("query", r"\s+", " ")), " ")).alias("pos", "raw"))
-    split = split.withColumn("word", F.lower("raw")).withColumn("asked", (F.length("raw") > 2) & ~F.col("raw").rlike(r"^\d+$"))
+    split = asked_words(queries)
     found = closest_terms(split.where("asked"), dictionary, distance)
     joined = split.join(found, "word", "left").withColumn("new", F.when(F.col("asked") & (F.col("distance") > 0), F.col("term")))
     done = joined.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "raw").alias("w")))).alias("ws"), F.bool_or(F.col("new").isNotNull()).alias("was_corrected"))
@@ -86,7 +92,27 @@ def correct(queries: DataFrame, dictionary: DataFrame, distance: int = MAX_DISTA
     return out.select("qid", "query", F.coalesce(F.array_join(F.transform("ws", lambda s: s["w"]), " "), F.lit("")).alias("corrected"), F.coalesce("was_corrected", F.lit(False)).alias("was_corrected"))
 
 
-def suggest(queries: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:
-    """(qid, suggestion): corrected forms that differ from the query."""
-    fixed = correct(queries, dictionary)
-    return fixed.where(F.lower("corrected") != F.lower("query")).select("qid", F.lower("corrected").alias("suggestion"))
+def suggest(queries: DataFrame, dictionary: DataFrame, n: int = 3, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(qid, place, suggestion): up to n corrected forms of whole queries that differ from the query, the best
+    first: the words' best terms, then words split or joined by mistake (`compounds`)."""
+    fixed = correct(queries, dictionary, distance).select("qid", F.lower("query").alias("low"), F.lit(0).alias("kind"), F.lower("corrected").alias("suggestion"))
+    joined = compounds(queries, dictionary).select("qid", F.lower("query").alias("low"), F.lit(1).alias("kind"), "suggestion")
+    some = fixed.unionByName(joined).where("suggestion <> low").groupBy("qid", "suggestion").agg(F.min("kind").alias("kind"))
+    w = W.partitionBy("qid").orderBy("kind", "suggestion")
+    return some.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("qid", "place", "suggestion")
+
+
+def compounds(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(qid, query, suggestion): queries with an unknown word split into two known ones, or with two words in a
+    row, one of them unknown, joined to a known one; one change at a time."""
+    words = queries.select("qid", "query", F.split(F.trim(F.lower(F.regexp_replace("query", r"\s+", " "))), " ").alias("ws"))
+    at = words.select("qid", "query", "ws", F.posexplode("ws").alias("pos", "word"))
+    known = dictionary.select("term").distinct()
+    unknown = at.join(known, at["word"] == known["term"], "left_anti").where("length(word) > 2")
+    cuts = unknown.select("qid", "query", "ws", "pos", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("cut")).select("qid", "query", "ws", "pos", F.substr("word", F.lit(1), F.col("cut")).alias("a"), F.substr("word", F.col("cut") + 1).alias("b"))
+    split = cuts.join(known.select(F.col("term").alias("a")), "a").join(known.select(F.col("term").alias("b")), "b")
+    parts = split.select("qid", "query", F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("pos")), F.array("a", "b"), F.slice("ws", F.col("pos") + 2, F.size("ws"))), " ").alias("suggestion"))
+    pairs = unknown.select("qid", "query", "ws", F.explode(F.array(F.col("pos") - 1, F.col("pos"))).alias("pos")).where("pos >= 0 and pos + 1 < size(ws)").distinct()
+    both = pairs.withColumn("term", F.concat(F.get("ws", F.col("pos")), F.get("ws", F.col("pos") + 1))).join(known, "term")
+    whole = both.select("qid", "query", F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("pos")), F.array("term"), F.slice("ws", F.col("pos") + 3, F.size("ws"))), " ").alias("suggestion"))
+    return parts.unionByName(whole).distinct()

@@ -16,6 +16,9 @@ from brindle.operators import dense, ranking, rag, sparse, spelling
 from brindle.operators.etl import search_filter
 
 MODES = ("hybrid", "vector", "keyword")
+# Bounds of the comparison's depth and of a question's length.
+MAX_COMPARE = 20
+QUESTION_LENGTH = (3, 500)
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,20 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in cls.TABLES))
+        """The saved tables; books that were added since take the place of those with their id."""
+        from brindle.sources.backends import ObjectStore
+        from brindle.sources.tables import upsert
+
+        main = {n: spark.read.parquet(f"{path}/{n}") for n in cls.TABLES}
+        if ObjectStore(spark, path).exists("added/books"):
+            new = {n: spark.read.parquet(f"{path}/added/{n}") for n in cls.TABLES}
+            ids = new["books"].select("work_id")
+            main["postings"] = main["postings"].join(ids, "work_id", "left_anti").unionByName(new["postings"].select(*main["postings"].columns))
+            fresh = new["vocabulary"].join(main["vocabulary"].select("term"), "term", "left_anti")
+            main["vocabulary"] = main["vocabulary"].unionByName(fresh.select(*main["vocabulary"].columns))
+            for n in ("books", "vectors"):
+                main[n] = upsert(main[n], new[n].select(*main[n].columns))
+        return cls(**main)
 
 
 def build_index(books: DataFrame, vectors: DataFrame) -> Index:
@@ -62,6 +78,18 @@ def build_index(books: DataFrame, vectors: DataFrame) -> Index:
     return Index(payload, sparse.weigh(counts, vocabulary, "work_id"), vocabulary, vectors.select("work_id", dense.normalize(F.col("embedding")).alias("embedding")))
 
 
+def add_books(spark: SparkSession, path: str, books: DataFrame, vectors: DataFrame) -> None:
+    """Add a slice of books to a saved index, over those of the same ids. Its sparse weights come from the slice's
+    own counts: the vocabulary of the whole is fitted when the index is built."""
+    from brindle.sources.tables import write_upsert
+
+    new = build_index(books, vectors)
+    for name in ("books", "vectors"):
+        write_upsert(spark, getattr(new, name), f"{path}/added/{name}")
+    write_upsert(spark, new.postings, f"{path}/added/postings", unique=False)
+    write_upsert(spark, new.vocabulary, f"{path}/added/vocabulary", key="term")
+
+
 def understand(queries: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Queries(qid, query) corrected and classified; the intent is reported and doesn't route."""
     fixed = spelling.correct(queries, dictionary) if dictionary is not None else queries.select("qid", "query", F.col("query").alias("corrected"), F.lit(False).alias("was_corrected"))
@@ -128,6 +156,8 @@ class Engine:
 
     def compare(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
         """(mode, qid, rank, work_id, title, score, year) of all modes."""
+        if not 1 <= top_k <= MAX_COMPARE:
+            raise ValueError(f"top_k is 1 to {MAX_COMPARE}")
         out = None
         for mode in MODES:
             part = self.search(queries, top_k, mode).select(F.lit(mode).alias("mode"), "qid", "rank", "work_id", "title", F.round("score", 4).alias("score"), "year")
@@ -138,9 +168,33 @@ class Engine:
         """Answers with their sources checked, for questions(qid, question)."""
         if not 1 <= max_sources <= 10:
             raise ValueError("max_sources is 1 to 10")
-        hits = self.search(questions.select("qid", F.col("question").alias("query")), 2 * max_sources, mode, rerank=True)
+        some = questions.where(F.length("question").between(*QUESTION_LENGTH))
+        if not questions.join(some.select("qid"), "qid", "left_anti").where("question <> ''").isEmpty():
+            raise ValueError("a question has {} to {} characters".format(*QUESTION_LENGTH))
+        hits = self.search(some.select("qid", F.col("question").alias("query")), 2 * max_sources, mode, rerank=True)
         return rag.ask(questions, hits, answer, max_sources)
 
+    def health(self) -> dict:
+        """Whether the parts are there; never an error."""
+        parts = {}
+        for name in Index.TABLES:
+            try:
+                getattr(self.index, name).schema  # noqa: B018
+                parts[name] = "ok"
+            except Exception as e:  # noqa: BLE001
+                parts[name] = f"{type(e).__name__}: {e}"[:200]
+        return {"status": "ok" if set(parts.values()) == {"ok"} else "degraded", "parts": parts}
+
+    def ready(self) -> bool:
+        """Whether a search can run: every table can be read and the embedder answers."""
+        try:
+            for name in Index.TABLES:
+                getattr(self.index, name).limit(1).collect()
+            self.index.books.sparkSession.range(1).select(self.embed(F.lit("probe"))).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
+
     def stats(self) -> dict:
         return {"points": self.index.books.count(), "dim": self.settings.dim, "terms": self.index.vocabulary.count()}
 
@@ -154,12 +208,12 @@ def lexical_scorer(query: Column, text: Column) -> Column:
 
 
 def model_scorer(predict: Callable[[list[str], list[str]], list[float]], batch: int = 4):
-    """A scorer from any pair model. Pairs go to it by length, so that little is padded, and come back in
+    """A scorer from any pair model. Pairs go to it by their words, so that little is padded, and come back in
     their own places."""
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, p in parts:
-            order = p.fillna("").str.len().argsort(kind="stable").to_numpy()
+            order = (q.fillna("").str.split().str.len() + p.fillna("").str.split().str.len()).argsort(kind="stable").to_numpy()
             out = pd.Series(0.0, index=range(len(p)))
             for k in range(0, len(order), batch):
                 at = order[k : k + batch]

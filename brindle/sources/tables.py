@@ -6,10 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.judging import grade_of
+from brindle.functions.text import plain_id
 from brindle.operators.etl import UNKNOWN_TIER, indexed, last_wins
 
 BOOK = T.StructType([
@@ -94,7 +97,7 @@ def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
 def judgments(spark: SparkSession, path: str) -> DataFrame:
     """(query, pos, work_id, title, grade): the newer field before the older one."""
     rows = keyed_json(spark, path, "array<struct<work_id: string, title: string, grade: int, relevance: int>>")
-    return rows.select("query", F.posexplode("value").alias("pos", "j")).select("query", "pos", "j.work_id", "j.title", F.coalesce("j.grade", "j.relevance").alias("grade"))
+    return rows.select("query", F.posexplode("value").alias("pos", "j")).select("query", "pos", "j.work_id", "j.title", grade_of(F.col("j.grade"), F.col("j.relevance")).alias("grade"))
 
 
 def pooled(spark: SparkSession, path: str) -> DataFrame:
@@ -108,6 +111,28 @@ def rankings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("mode", F.explode("value").alias("query", "ids")).select("mode", "query", F.posexplode("ids").alias("pos", "work_id")).select("mode", "query", (F.col("pos") + 1).alias("rank"), "work_id")
 
 
+def known_item_rows(spark: SparkSession, path: str, kind: str = "items") -> DataFrame:
+    """(query, work_id, title, class) of a known-item file: its items or its hard variants. A field that isn't
+    there is null; a file that can't be read is empty."""
+    row = "array<struct<query: string, work_id: string, title: string, title_word_class: string, variant_type: string>>"
+    text = spark.read.option("wholetext", True).text(path)
+    read = F.from_json("value", f"items {row}, hard_variants {row}")
+    field = "items" if kind == "items" else "hard_variants"
+    return text.select(F.explode(read[field]).alias("i")).select("i.query", plain_id(F.col("i.work_id")).alias("work_id"), "i.title", F.coalesce("i.variant_type", "i.title_word_class").alias("class"))
+
+
+def judge_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(pair_key, grade, reasoning) of a cache file; one that can't be read is empty."""
+    rows = keyed_json(spark, path, "struct<grade: int, reasoning: string>")
+    return rows.select(F.col("query").alias("pair_key"), "value.grade", "value.reasoning")
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """(query, work_id, grade) of labels given so far; a file that can't be read is empty."""
+    read = F.from_json("value", "array<struct<query: string, work_id: string, grade: int, relevance: int>>")
+    return spark.read.option("wholetext", True).text(path).select(F.explode(read).alias("l")).select("l.query", "l.work_id", grade_of(F.col("l.grade"), F.col("l.relevance")).alias("grade"))
+
+
 def baseline(spark: SparkSession, path: str) -> DataFrame:
     schema = "created_at string, git_sha string, item_count int, seed int, max_drop_pp double, gated_modes array<string>, modes map<string, struct<accuracy_at_1: double, accuracy_at_5: double, mrr: double>>"
     return spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("modes").alias("mode", "m"), "gated_modes", "max_drop_pp").select("mode", "m.*", "gated_modes", "max_drop_pp")
@@ -159,16 +184,45 @@ def write_audit(df: DataFrame, path: str) -> None:
 
 
 def write_report(rows: dict | list, path: str) -> None:
-    """A report of few rows as a JSON file."""
-    with open(guard(path), "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2, ensure_ascii=False)
+    """A report of few rows as a JSON file, on any file system that Spark reaches."""
+    from brindle.sources.backends import ObjectStore
+
+    folder, _, name = guard(path).rpartition("/")
+    ObjectStore(SparkSession.active(), folder or ".").put_bytes(name, json.dumps(rows, indent=2, ensure_ascii=False, default=str).encode())
+
+
+def write_with_meta(rows: list, path: str, meta: dict) -> None:
+    """A report and, beside it, what made it: `.meta.json`."""
+    write_report(rows, path)
+    write_report(meta | {"rows": len(rows)}, f"{path.removesuffix('.json')}.meta.json")
+
+
+def upsert(table: DataFrame, new: DataFrame, key: str = "work_id", unique: bool = True) -> DataFrame:
+    """Rows of `new` in place of those with the same key; with `unique`, one of those with equal keys."""
+    return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]) if unique else new)
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str = "work_id") -> DataFrame:
-    """Rows of `new` in place of those with the same key."""
-    return table.join(new.select(key), key, "left_anti").unionByName(new)
+def write_upsert(spark: SparkSession, new: DataFrame, path: str, key: str = "work_id", buckets: int = 64, unique: bool = True) -> None:
+    """Upsert into a table on disk that is kept in buckets of its key: only the buckets of new rows are read
+    and written again."""
+    at = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    some = new.select("*", at).persist()
+    try:
+        touched = [r["bucket"] for r in some.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        try:
+            old = spark.read.parquet(path).where(F.col("bucket").isin(*touched))
+        except AnalysisException:
+            old = some.limit(0)
+        merged = upsert(old.select(*some.columns), some, key, unique)
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        some.unpersist()
 
 
 def to_kafka(tasks: DataFrame, servers: str, topic: str) -> None:
-    """Tasks as messages keyed by batch; needs Spark's Kafka package on the class path."""
-    tasks.select(F.col("batch_id").alias("key"), F.to_json(F.struct(*tasks.columns)).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.enable.idempotence", "true").option("kafka.acks", "all").option("topic", topic).save()
+    """Tasks as messages keyed by batch, with their headers if they have some; needs Spark's Kafka package on the
+    class path. `tasks` holds key and value already, or the fields of a task."""
+    headers = [F.transform("headers", lambda h: F.struct(h["key"].alias("key"), h["value"].cast("binary").alias("value"))).alias("headers")] if "headers" in tasks.columns else []
+    body = [c for c in tasks.columns if c != "headers"]
+    made = [F.col("key"), F.col("value")] if {"key", "value"} <= set(body) else [F.col("batch_id").alias("key"), F.to_json(F.struct(*body)).alias("value")]
+    tasks.select(*made, *headers).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.enable.idempotence", "true").option("kafka.acks", "all").option("topic", topic).save()

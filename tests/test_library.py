@@ -89,8 +89,10 @@ def test_vector_search_matches_numpy_whatever_the_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "key long, vector array<double>").repartition(5)
     asked = docs.where("key < 7").withColumnRenamed("key", "qid")
     want = {q: [int(i) for i in np.lexsort((np.arange(60), -np.round(x[q] @ x.T, 10)))[:5]] for q in range(7)}
-    for block in (3, 4096):
+    for block, rows, most in ((3, 7, 64 << 20), (4096, 2048, 64 << 20), (3, 7, 0)):
         monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        monkeypatch.setattr(dense, "SCORE_ROWS", rows)
+        monkeypatch.setattr(dense, "MAX_QUERY_BYTES", most)
         got = {}
         for r in dense.vector_top_k(docs, asked, 5).orderBy("qid", "rank").collect():
             got.setdefault(r["qid"], []).append(r["key"])
@@ -150,6 +152,48 @@ def test_spelling(spark):
     assert one(spark, lambda c: spelling.osa_distance(c, F.lit("abc")), "ca") == 3
 
 
+def test_embedding_cost_is_linear_and_vectors_are_units(spark):
+    words = spark.createDataFrame([(i, " ".join(f"word{i * j}" for j in range(200))) for i in range(40)] + [(40, None), (41, "")], "i int, t string")
+    for dim in (16, 256):
+        v = np.array([r["v"] for r in words.select(dense.truncate(dense.hashed_embedding(F.col("t"), dim), dim).alias("v"), "i").orderBy("i").collect()])
+        norms = np.linalg.norm(v, axis=1)
+        assert v.shape == (42, dim) and np.allclose(norms[:40], 1) and not norms[40:].any()
+    again = dense.word_hash_model(16)(["a b a", "b a a", ""])
+    assert (again[0] == again[1]).all() and not again[2].any()
+
+
+def test_longest_run_has_no_bound(spark):
+    shared = " ".join(f"w{i}" for i in range(150))
+    df = spark.createDataFrame([(f"x {shared} y", f"start {shared} end {shared}"), ("a b c", "c b a"), ("", "a"), ("a", None)], "q string, d string")
+    assert [r["n"] for r in df.select(G.longest_shared_run(F.col("q"), F.col("d")).alias("n")).collect()] == [150, 1, 0, 0]
+
+
+def test_suggestions(spark):
+    words = spark.createDataFrame([("space", 100), ("ship", 50), ("dune", 10), ("wardrobe", 9)], "term string, freq long")
+    q = spark.createDataFrame([(1, "spaceship dune"), (2, "ward robe"), (3, "dune"), (4, "spce")], "qid int, query string")
+    got = {(r["qid"], r["suggestion"]) for r in spelling.suggest(q, words).collect()}
+    assert {(1, "space ship dune"), (2, "wardrobe"), (4, "space")} <= got and not any(i == 3 for i, _ in got)
+    assert max(r["place"] for r in spelling.suggest(q, words, 1).collect()) == 1
+
+
+def test_percentile_by_index(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.randrange(9)) for g in "ab" for _ in range(rng.randrange(1, 30))] + [("c", None)]
+    for p in (0.0, 0.5, 0.9, 1.0):
+        got = {r["g"]: r["v"] for r in sampling.percentile_by_index(spark.createDataFrame(rows, "g string, v int"), ["g"], "v", p).collect()}
+        for g in "ab":
+            v = sorted(x for k, x in rows if k == g)
+            assert got[g] == v[min(int(len(v) * p), len(v) - 1)]
+        assert set(got) == {"a", "b"}
+
+
+def test_trials_meet_the_closed_form(spark):
+    pools = spark.createDataFrame([("a", 20, 3), ("b", 5, 5), ("c", 30, 0)], "query string, pool int, relevant int")
+    got = {r["query"]: r["random_mrr"] for r in metrics.random_mrr_trials(pools, 4000).collect()}
+    want = {r["query"]: r["m"] for r in pools.select("query", metrics.random_mrr(F.col("pool"), F.col("relevant")).alias("m")).collect()}
+    assert all(got[q] == pytest.approx(want[q], abs=0.02) for q in want) and got["b"] == 1.0 and got["c"] == 0.0
+
+
 def test_citations(spark):
     answer = 'I like **Dune** and _Emma Woods_, "[2] The Lost One" and "ok".'
     assert one(spark, lambda c: unsupported_titles(c, F.array(F.lit("Dune Messiah"), F.lit("emma woods"))), answer) == ["[2] The Lost One"]
