@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     job("corpus", (("--input",), {"required": True}), out, (("--limit",), {"type": int}), (("--seed",), {"type": int, "default": 42}), (("--keep-non-english",), {"action": "store_true"}))
     job("clean", (("--input",), {"required": True}), (("--out",), {"help": "where the cleaned corpus goes; needed unless --dry-run is given, and never the input"}), (("--dry-run",), {"action": "store_true"}))
     job("enqueue", corpus, out, (("--start-batch",), {"type": int, "default": 0}), (("--max-batches",), {"type": int}))
-    job("worker", (("--queue",), {"required": True}), out, (("--checkpoint",), {"required": True}), (("--loop",), {"action": "store_true"}))
+    job("worker", (("--queue",), {"required": True}), out, (("--checkpoint",), {"required": True}), (("--loop",), {"action": "store_true"}), (("--errors",), {}), (("--embedder",), {"help": "module:function from a list of texts to rows of numbers; without it the hashed stand-in"}))
     job("assemble", corpus, (("--shards",), {"required": True}), out, (("--dim",), {"type": int, "default": 256}), (("--allow-partial",), {"action": "store_true"}))
     job("load", corpus, (("--vectors",), {"required": True}), out, (("--recreate",), {"action": "store_true"}))
     job("dictionary", corpus, out)
@@ -78,13 +79,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         from brindle.streaming.embedding import enqueue
 
         schema = tables.T.StructType([*tables.BOOK.fields, tables.T.StructField("row_idx", tables.T.LongType())])
-        return enqueue(spark.read.schema(schema).json(a.corpus), a.out, Settings().slice_rows, a.start_batch, a.max_batches)
+        return enqueue(spark.read.schema(schema).json(a.corpus), a.out, Settings.from_env().slice_rows, a.start_batch, a.max_batches)
     if a.job == "worker":
-        from brindle.operators.dense import hashed_embedding
+        from brindle.operators.dense import embed_udf, hashed_embedding
         from brindle.streaming.embedding import start
 
-        dim = Settings().dim
-        return start(spark, a.queue, a.out, a.checkpoint, lambda c: hashed_embedding(c, dim), dim, a.loop).awaitTermination()
+        dim = Settings.from_env().dim
+        embed = lambda c: hashed_embedding(c, dim)
+        if a.embedder:
+            module, _, name = a.embedder.partition(":")
+            embed = embed_udf(getattr(importlib.import_module(module), name), dim)
+        return start(spark, a.queue, a.out, a.checkpoint, embed, dim, a.loop, a.errors).awaitTermination()
     if a.job == "assemble":
         books, vectors = tables.indexed_books(spark, a.corpus), tables.shards(spark, a.shards)
         etl.check_index(etl.validate_index(vectors, books, a.dim), a.allow_partial)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Double-encoded sequences and what they stand for, in order of application.
 MOJIBAKE = [
@@ -71,6 +73,34 @@ def fix_mojibake(c: Column) -> Column:
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, c)
 
 
+def _repaired(text: str) -> str:
+    """UTF-8 that was read as Windows-1252, once or twice, read right; text that wasn't stays as it is."""
+    for _ in range(2):
+        try:
+            better = text.encode("cp1252").decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return text
+        if better == text:
+            return text
+        text = better
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def _repair(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _repaired(t))
+
+
+# Fixed value: characters that UTF-8 read as Windows-1252 begins with.
+DAMAGE = "[ÂÃâð]"
+
+
+def repair_text(c: Column) -> Column:
+    """Encoding damage undone, null as empty. Only texts that may be damaged leave the JVM."""
+    text = F.coalesce(c, F.lit(""))
+    return F.coalesce(_repair(F.when(text.rlike(DAMAGE), text)), text)
+
+
 def strip_review_header(c: Column) -> Column:
     """Drop all up to the first review count, if more than 50 characters follow it."""
     def cut(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.text import MAX_AUTHORS, MAX_SUBJECTS, clean_description, draw, english_by_stopwords, split_list, strip, usable, work_id
+from brindle.functions.text import MAX_AUTHORS, MAX_SUBJECTS, clean_description, draw, english_by_stopwords, repair_text, split_list, strip, usable, work_id
 
 # The tier of a book without one, and the name of the raw data.
 UNKNOWN_TIER = 99
@@ -17,9 +17,12 @@ def usable_rows(raw: DataFrame) -> DataFrame:
     return raw.where(usable(F.col("title"), F.col("author"), F.col("desc")))
 
 
-def english_rows(raw: DataFrame, text: str = "desc", lang: str | None = None) -> DataFrame:
-    """By a language column where there is one, else by function words."""
-    return raw.where(F.col(lang) == "en") if lang else raw.where(english_by_stopwords(F.col(text)))
+def english_rows(raw: DataFrame, text: str = "desc", lang: str | None = None, detect=None) -> DataFrame:
+    """By a language column where there is one, else by a detector (a Column function of the text to a language,
+    as `language.detect`), else by function words."""
+    if lang:
+        return raw.where(F.col(lang) == "en")
+    return raw.where(detect(F.col(text)) == "en") if detect else raw.where(english_by_stopwords(F.col(text)))
 
 
 def drop_ambiguous(rows: DataFrame, text: str = "desc", author: str = "author") -> DataFrame:
@@ -31,7 +34,7 @@ def drop_ambiguous(rows: DataFrame, text: str = "desc", author: str = "author")
     return keyed.join(shared, "__digest", "left_anti").drop("__digest")
 
 
-def records(raw: DataFrame, repair=lambda c: F.coalesce(c, F.lit(""))) -> DataFrame:
+def records(raw: DataFrame, repair=repair_text) -> DataFrame:
     """Raw rows (row_idx, title, author, desc, genre, isbn) as books. `repair` undoes encoding damage."""
     none = F.lit(None)
     empty = F.array().cast("array<string>")
@@ -55,13 +58,13 @@ def sample_rows(df: DataFrame, n: int, seed: int, key: str = "row_idx") -> DataF
     return df.orderBy(draw(key, F.lit(seed)), key).limit(n).orderBy(key)
 
 
-def build_corpus(raw: DataFrame, limit: int | None = None, seed: int = 42, keep_non_english: bool = False, lang: str | None = None) -> DataFrame:
+def build_corpus(raw: DataFrame, limit: int | None = None, seed: int = 42, keep_non_english: bool = False, lang: str | None = None, detect=None, repair=repair_text) -> DataFrame:
     rows = usable_rows(raw)
     if limit:
         rows = sample_rows(rows, limit, seed)
     if not keep_non_english:
-        rows = english_rows(rows, lang=lang)
-    return unique_ids(records(drop_ambiguous(rows)))
+        rows = english_rows(rows, lang=lang, detect=detect)
+    return unique_ids(records(drop_ambiguous(rows), repair))
 
 
 def indexed(books: DataFrame, tier: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,15 @@ class Settings:
     rrf_base: int = 0
     rerank_multiplier: float = 2.5
     max_top_k: int = 50
+    queue_backend: str = "files"
+    store_backend: str = "local"
+
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None) -> Settings:
+        """Sizes and backends from the environment, where they are set."""
+        env = dict(os.environ) if env is None else env
+        names = {"EMBED_DIM": ("dim", int), "BATCH_CHUNK_SIZE": ("slice_rows", int), "QUEUE_BACKEND": ("queue_backend", str), "OBJECT_STORE_BACKEND": ("store_backend", str)}
+        return cls(**{field: kind(env[name]) for name, (field, kind) in names.items() if env.get(name)})
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import judging as J
 from brindle.functions import querygen as G
 from brindle.functions import text as X
-from brindle.operators import agreement, dense, etl, metrics, ranking, sampling, spelling
+from brindle.operators import agreement, dense, etl, language, metrics, ranking, sampling, spelling
 from brindle.operators import judging as judging_ops
 from brindle.plans import jobs
 from brindle.plans.engine import Engine, Settings, build_index, lexical_scorer, model_scorer
@@ -199,6 +199,32 @@ def title_classes(spark, sf_dir):
     return sampling.title_class(b.select("work_id", "title"), sampling.title_df(b), b.count())
 
 
+@query("SELECT doc_id, sha256(text || ' é ñ ü') AS digest FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7f]*$')")
+def repaired_texts(spark, sf_dir):
+    """Texts are damaged as by a wrong decoder; the repair gives them back."""
+    d = read(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    damaged = F.concat("text", F.lit(" Ã© Ã± Ã¼"))
+    return d.select("doc_id", F.sha2(X.repair_text(damaged).cast("binary"), 256).alias("digest"))
+
+
+@query()
+def language_profiles(spark, sf_dir):
+    """Profiles of the rows whose id isn't divisible by 5, applied to all whole texts."""
+    d = read(spark, sf_dir, "documents")
+    find = language.detect(language.fit_profiles(d.where("doc_id % 5 <> 0")))
+    return d.select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "lang", find(F.col("text")).alias("found"))
+
+
+@query(rf"""WITH b AS (SELECT doc_id, 'gr:' || doc_id AS work_id, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM documents WHERE text <> ''),
+{TITLE_DF}, one AS (SELECT lower(trim(title, E' \n\t\r')) AS t FROM b GROUP BY 1 HAVING count(*) = 1),
+fit AS (SELECT * FROM b WHERE len(string_split_regex(trim(title, E' \n\t\r'), '\s+')) >= 3 AND length(title) >= 10 AND NOT (title = upper(title) AND length(title) > 5) AND lower(trim(title, E' \n\t\r')) IN (SELECT t FROM one)),
+some AS (SELECT * FROM fit ORDER BY md5(work_id || '|42'), work_id LIMIT 50),
+r AS (SELECT doc_id, bool_or(coalesce(df, 0) / (SELECT count(*) FROM b)::DOUBLE < 0.005) AS rare FROM (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: length(x) > 1 AND x NOT IN ({TITLE_STOP}))) AS term FROM some) LEFT JOIN tdf USING (term) GROUP BY doc_id)
+SELECT work_id, title AS query, CASE WHEN rare THEN 'distinctive' ELSE 'common_words' END AS title_word_class FROM some LEFT JOIN r USING (doc_id)""".replace("some AS", "picked AS").replace("FROM some", "FROM picked"))
+def known_item_set(spark, sf_dir):
+    return sampling.known_items(books(spark, sf_dir)).select("work_id", "query", "title_word_class")
+
+
 # ---- samples and reports
 
 @query(f"""WITH {BOOKS}, numbered AS (SELECT work_id, row_number() OVER (ORDER BY md5(work_id || '|42|category'), work_id) AS n FROM books)

@@ -488,10 +488,17 @@ def range_filter(spark, sf_dir):
     return books(spark, sf_dir).where(etl.search_filter(1900, 1950, 2)).select("doc_id", "tier", "year")
 
 
-@query()
+CLEANED = r"""CASE WHEN regexp_matches(t, '\d+\s+[Rr]eviews?') AND length(trim(regexp_replace(t, '(?s)^.*?\d+\s+[Rr]eviews?\s*', ''), E' \n\t\r')) > 50 THEN regexp_replace(t, '(?s)^.*?\d+\s+[Rr]eviews?\s*', '') ELSE trim(regexp_replace(regexp_replace(regexp_replace(replace(t, E'\r\n', E'\n'), '\n{3,}', E'\n\n', 'g'), '[ \t]+', ' ', 'g'), '[ \t]+\n', E'\n', 'g'), E' \n\t\r') END"""
+
+
+@query(rf"""WITH r AS (SELECT *, trim(text, E' \n\t\r') AS d, trim(substr(split_part(text, chr(10), 1), 1, 80), E' \n\t\r') AS title FROM documents),
+u AS (SELECT * FROM r WHERE length(d) >= 30 AND trim(source) <> '' AND title <> '' AND lang = 'en'), shared AS (SELECT d FROM u GROUP BY d HAVING count(DISTINCT lower(source)) > 1),
+k AS (SELECT *, replace(replace(d, 'Ã©', 'é'), 'Ã±', 'ñ') AS t FROM u WHERE d NOT IN (SELECT d FROM shared))
+SELECT doc_id AS row_idx, 'gr:idx' || doc_id AS work_id, title, source AS authors, length({CLEANED})::BIGINT AS n, lang || '|' || source AS subjects FROM k""")
 def build_corpus(spark, sf_dir):
     raw = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("source").alias("author"), F.col("text").alias("desc"), F.concat_ws(",", "lang", "source").alias("genre"), F.lit(None).cast("string").alias("isbn"), "lang")
-    return etl.build_corpus(raw, lang="lang").select("row_idx", "work_id", "title", "authors", F.length("description").alias("n"), "subjects")
+    made = etl.build_corpus(raw, lang="lang")
+    return made.select("row_idx", "work_id", "title", F.array_join("authors", "|").alias("authors"), F.length("description").cast("long").alias("n"), F.array_join("subjects", "|").alias("subjects"))
 
 
 # ---- queries
@@ -864,11 +871,16 @@ def label_pairs(spark, sf_dir):
     return sampling.label_pairs(j, j.select("query", "work_id"), 30, 42)
 
 
-@query()
+@query(r"""WITH b AS (SELECT unnest(string_split_regex(lower(substr(split_part(text, chr(10), 1), 1, 80)), '\s+')) AS term FROM documents WHERE text <> '' UNION ALL SELECT unnest([lower(source), lower(lang)]) FROM documents WHERE text <> ''),
+dict AS (SELECT DISTINCT term FROM b WHERE regexp_matches(term, '^\p{L}{3,}$')), parts AS (SELECT item_id AS qid, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') AS ws FROM benchmark WHERE item_id % 100 = 0),
+w AS (SELECT qid, unnest(ws) AS raw, unnest(range(0, len(ws))) AS pos FROM parts), asked AS (SELECT DISTINCT lower(raw) AS word FROM w WHERE length(raw) > 2 AND NOT regexp_matches(raw, '^\d+$')),
+c AS (SELECT word, term, damerau_levenshtein(word, term) AS dist FROM asked, dict WHERE abs(length(word) - length(term)) <= 2), best AS (SELECT word, term, dist FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, term) AS n FROM c WHERE dist <= 2) WHERE n = 1),
+n AS (SELECT qid, pos, raw, CASE WHEN length(raw) > 2 AND NOT regexp_matches(raw, '^\d+$') AND dist > 0 THEN term END AS fixed FROM w LEFT JOIN best ON word = lower(raw))
+SELECT qid, string_agg(coalesce(fixed, raw), ' ' ORDER BY pos) AS corrected, bool_or(fixed IS NOT NULL) AS was_corrected FROM n GROUP BY qid""")
 def spell_queries(spark, sf_dir):
     d = spelling.build_dictionary(books(spark, sf_dir))
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return spelling.correct(q, d)
+    q = read(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return spelling.correct(q, d).select("qid", "corrected", "was_corrected")
 
 
 @query()

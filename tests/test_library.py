@@ -10,7 +10,7 @@ from brindle.functions import querygen as G
 from brindle.functions import text as X
 from brindle.functions.judging import vote
 from brindle.functions.rag import unsupported_titles
-from brindle.operators import agreement, bootstrap, dense, etl, metrics, ranking, sampling, sparse, spelling
+from brindle.operators import agreement, bootstrap, dense, etl, language, metrics, ranking, sampling, sparse, spelling
 from brindle.plans.engine import Engine, Index, build_index, lexical_scorer, model_scorer, understand
 from brindle.sources import tables
 
@@ -136,6 +136,46 @@ def test_bootstrap_is_reproducible(spark):
     assert [r for r in a if r["metric"] == "mrr"][0]["low"] == round(float(low), 4)
 
 
+def test_other_intervals_against_loops(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, f"q{i:02d}", float(rng.random()), float(rng.random()), float(rng.random()), "ab"[i % 2]) for m in ("x", "y") for i in range(12)]
+    df = spark.createDataFrame(rows, "mode string, query string, mrr double, ndcg double, recall double, category string")
+    by = {(r[0], r[1]): r for r in rows}
+    qs = sorted({r[1] for r in rows})
+    deltas = {k: np.array([by["y", q][c] - by["x", q][c] for q in qs]) for k, c in (("ndcg", 3), ("mrr", 2))}
+    draws = np.random.default_rng(1000).integers(0, 12, (300, 12))
+    for r in bootstrap.paired_intervals(df.repartition(5), [("y", "x")], 300).collect():
+        d = deltas[r["metric"]]
+        boots = np.array([sum(d[j] for j in one) / 12 for one in draws])
+        low, high = np.percentile(boots, [2.5, 97.5])
+        want = (boots <= 0).mean() if d.mean() > 0 else (boots >= 0).mean()
+        assert (r["low"], r["high"], r["delta"]) == (round(low, 4), round(high, 4), round(d.mean(), 4)) and r["p_opposite"] == round(want, 4) and r["significant"] == (low > 0 or high < 0) and r["low_n"]
+    for r in bootstrap.category_intervals(df, "y", "x", ["a", "b"], 300).collect():
+        mine = [q for q in qs if by["x", q][5] == r["name"]]
+        d = np.array([by["y", q][3] - by["x", q][3] for q in mine])
+        g = np.random.default_rng(2000 + "ab".index(r["name"]))
+        low, high = np.percentile([d[g.integers(0, 6, 6)].mean() for _ in range(300)], [2.5, 97.5])
+        assert (r["low"], r["high"], r["n_queries"]) == (round(low, 4), round(high, 4), 6)
+    for r in bootstrap.index_percentile_intervals(df, "mrr", 7, 300).collect():
+        v, g = [by[r["mode"], q][2] for q in qs], random.Random(7)
+        means = sorted(sum(v[g.randrange(12)] for _ in range(12)) / 12 for _ in range(300))
+        assert (r["low"], r["high"]) == (round(means[7], 4), round(means[292], 4))
+
+
+def test_language_profiles(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    find = language.detect(language.fit_profiles(d.where("doc_id % 5 <> 0")))
+    held = d.where("doc_id % 5 = 0 and length(text) > 40").select("lang", find(F.col("text")).alias("found")).collect()
+    assert np.mean([r["lang"] == r["found"] for r in held]) > 0.95
+    odd = spark.createDataFrame([(None,), ("",), ("12 !",)], "t string").select(find(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in odd] == [None] * 3
+
+
+@pytest.mark.parametrize("raw, out", [("caf\u00c3\u00a9 \u00e2\u20ac\u201c x", "caf\u00e9 \u2013 x"), ("\u00c3\u0192\u00c2\u00a9", "\u00e9"), ("caf\u00e9 \u00c2 5", "caf\u00e9 \u00c2 5"), (None, ""), ("plain", "plain")])
+def test_repair(spark, raw, out):
+    assert one(spark, X.repair_text, raw) == out
+
+
 def test_gate(spark):
     cur = spark.createDataFrame([("hybrid", 0.80), ("keyword", 0.1)], "mode string, accuracy_at_1 double")
     base = spark.createDataFrame([("hybrid", 0.86), ("keyword", 0.9)], "mode string, accuracy_at_1 double")
