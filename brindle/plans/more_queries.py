@@ -10,8 +10,8 @@ from brindle.functions import text as X
 from brindle.operators import agreement, dense, etl, language, metrics, ranking, sampling, spelling
 from brindle.operators import judging as judging_ops
 from brindle.plans import jobs
-from brindle.plans.engine import Engine, Settings, build_index, lexical_scorer, model_scorer
-from brindle.plans.queries import BOOKS, GRADES, JUDGED, KEYWORD, LEAK, SPARSE, _dense_sql, _grades, _judgments, _known, _query_weights, _rankings, books, query, read
+from brindle.plans.engine import model_scorer
+from brindle.plans.queries import BOOKS, GRADES, JUDGED, KEYWORD, LEAK, SPARSE, _dense_sql, _grades, _judgments, _known, _query_weights, _rankings, books, query, read, stored_engine
 from brindle.sources import tables
 from brindle.sources.backends import get_queue, object_store
 from brindle.sources.scratch import fresh_path, saved
@@ -421,26 +421,40 @@ evoc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM books)) / (1.0 + count(*))
 epost AS (SELECT work_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY work_id)) AS w FROM etf JOIN evoc USING (term)),
 eqtf AS (SELECT item_id AS qid, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM benchmark) GROUP BY ALL),
 eqw AS (SELECT qid, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid)) AS w FROM eqtf JOIN evoc USING (term)),
-es AS (SELECT qid, work_id, sum(epost.w * eqw.w) AS score FROM epost JOIN eqw USING (term) JOIN books USING (work_id) WHERE tier = 1 AND year >= 1900 GROUP BY ALL),
-er AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, work_id) AS rank FROM es)"""
+es AS (SELECT qid, work_id, sum(epost.w * eqw.w) AS score FROM epost JOIN eqw USING (term) JOIN books USING (work_id) WHERE tier = 1 GROUP BY ALL)"""
 
+TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
 
-def _engine(spark, sf_dir):
-    b = books(spark, sf_dir).withColumns({"first_publish_year": F.col("year"), "cover_id": F.lit(None).cast("int"), "isbn": F.lit(None).cast("string")}).drop("doc_id", "year")
-    e = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("gr:"), F.col("vec_id").cast("string")).alias("work_id"), "embedding")
-    return Engine(build_index(b, e), settings=Settings(dim=64), scorer=lexical_scorer)
 
+@query(rf"""WITH {BOOKS.strip()}, {ENGINE}, unit AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+asked AS (SELECT item_id AS qid, text AS query, v FROM benchmark JOIN unit ON vec_id = item_id WHERE item_id % 100 = 0),
+k AS (SELECT qid, work_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, work_id) AS rank FROM es WHERE qid IN (SELECT qid FROM asked)),
+vs AS (SELECT qid, work_id, list_dot_product(asked.v, unit.v) AS score FROM asked, unit JOIN books ON work_id = 'gr:' || vec_id WHERE tier = 1),
+v AS (SELECT qid, work_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, work_id) AS rank FROM vs),
+f AS (SELECT qid, work_id, sum(1.0 / (1 + rank)) AS score FROM (SELECT * FROM k WHERE rank <= 50 UNION ALL SELECT * FROM v WHERE rank <= 50) GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, work_id) AS original_rank FROM f),
+p AS (SELECT work_id, title, coalesce(CASE WHEN title <> '' THEN title || ' by ' || author || '. ' END, '') || substr(trim(regexp_replace(trim(description, E'"\''), '\s+', ' ', 'g'), ' '), 1, 1500) || ' This book covers ' || lang || ', ' || source || '.' AS passage FROM books),
+s AS (SELECT qid, work_id, title, original_rank, len(list_intersect({TOKENS.format("query")}, {TOKENS.format("passage")}))::DOUBLE / len({TOKENS.format("query")}) AS score FROM h JOIN p USING (work_id) JOIN asked USING (qid) WHERE original_rank <= 25),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, original_rank) AS rank FROM s)
+SELECT qid, rank, work_id, title, original_rank, original_rank - rank AS rank_change, round(score, 4) AS rerank_score FROM r WHERE rank <= 10""")
+def engine_search(spark, sf_dir):
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    q = read(spark, sf_dir, "benchmark").join(asked, "item_id").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "vector")
+    hits = stored_engine(spark, sf_dir).search(q, 10, "hybrid", tier=1, rerank=True)
+    return hits.select("qid", *(F.col(c).cast("long").alias(c) for c in ("rank", "original_rank", "rank_change")), "work_id", "title", "rerank_score")
 
-@query(f"WITH {BOOKS.strip()}, {ENGINE} SELECT qid, rank, er.work_id, title, author AS authors, year, round(score, 6) AS score FROM er JOIN books USING (work_id) WHERE rank <= 10")
+
+
+@query(f"WITH {BOOKS.strip()}, {ENGINE}, er AS (SELECT qid, work_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, work_id) AS rank FROM es JOIN books USING (work_id) WHERE year >= 1900) SELECT qid, rank, er.work_id, title, author AS authors, year, round(score, 6) AS score FROM er JOIN books USING (work_id) WHERE rank <= 10")
 def engine_keyword(spark, sf_dir):
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    hits = _engine(spark, sf_dir).search(q, 10, "keyword", tier=1, year_min=1900)
+    hits = stored_engine(spark, sf_dir).search(q, 10, "keyword", tier=1, year_min=1900)
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "work_id", "title", "authors", "year", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BOOKS.strip()}, {ENGINE} SELECT (SELECT count(*) FROM documents) AS points, 64::INTEGER AS dim, (SELECT count(*) FROM evoc) AS terms, 'ok' AS status, true AS ready")
 def engine_stats(spark, sf_dir):
-    engine = _engine(spark, sf_dir)
+    engine = stored_engine(spark, sf_dir)
     s = engine.stats()
     return spark.createDataFrame([(s["points"], s["dim"], s["terms"], engine.health()["status"], engine.ready())], "points long, dim int, terms long, status string, ready boolean")
 

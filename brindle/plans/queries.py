@@ -18,7 +18,7 @@ from brindle.functions import text as X
 from brindle.functions.intent import classify
 from brindle.operators import agreement, bootstrap, dense, etl, metrics, ranking, rag, sampling, sparse, spelling
 from brindle.operators import judging as judging_ops
-from brindle.plans.engine import lexical_scorer
+from brindle.plans.engine import Engine, Index, Settings, build_index, lexical_scorer
 from brindle.sources.scratch import fresh_path, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -883,13 +883,16 @@ def spell_queries(spark, sf_dir):
     return spelling.correct(q, d).select("qid", "corrected", "was_corrected")
 
 
-@query()
-def engine_search(spark, sf_dir):
-    from brindle.plans.engine import Engine, Settings, build_index
+_ENGINES: dict[tuple[str, str], str] = {}
 
-    b = books(spark, sf_dir).withColumns({"first_publish_year": F.col("year"), "cover_id": F.lit(None).cast("int"), "isbn": F.lit(None).cast("string")}).drop("doc_id", "year")
-    e = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("gr:"), F.col("vec_id").cast("string")).alias("work_id"), "embedding")
-    asked = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    q = read(spark, sf_dir, "benchmark").join(asked, "item_id").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "vector")
-    engine = Engine(build_index(b, e), settings=Settings(dim=64), scorer=lexical_scorer)
-    return engine.search(q, 10, "hybrid", tier=1, rerank=True).select("qid", "rank", "work_id", "title", "original_rank", "rank_change", "rerank_score")
+
+def stored_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """A search engine over the saved index of all books, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENGINES:
+        b = books(spark, sf_dir).withColumns({"first_publish_year": F.col("year"), "cover_id": F.lit(None).cast("int"), "isbn": F.lit(None).cast("string")}).drop("doc_id", "year")
+        e = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("gr:"), F.col("vec_id").cast("string")).alias("work_id"), "embedding")
+        path = fresh_path(spark, "engine")
+        build_index(b, e).save(path)
+        _ENGINES[key] = path
+    return Engine(Index.load(spark, _ENGINES[key]), settings=Settings(dim=64), scorer=lexical_scorer)
