@@ -370,6 +370,35 @@ def test_pack_lengths():
         assert len(ends) == count and all(v <= 4096 for v in ends.values()) and count <= max(np.ceil(lengths.sum() / 4096) * 1.02 + 2, 1 if n else 0)
 
 
+@pytest.mark.parametrize("law", [lambda r, n: r.lognormal(6.3, 1.2, n), lambda r, n: r.lognormal(7.2, 0.6, n), lambda r, n: r.lognormal(7.6, 0.3, n), lambda r, n: r.uniform(1, 4096, n), lambda r, n: r.uniform(1, 60, 5 * n)])
+def test_packing_is_near_its_bound(law):
+    """The program over lengths rounded down to the least of their group can't take more sequences than any packing;
+    nor can all tokens in full ones."""
+    lengths = np.clip(law(np.random.default_rng(11), 2000).astype(int), 1, 4096)
+    large = np.sort(lengths[lengths > packing.LARGE])[::-1]
+    each = max(1, -(-len(large) // 96))
+    groups = [large[k : k + each] for k in range(0, len(large), each)]
+    bound = -(-int(lengths.sum()) // 4096)
+    if groups:
+        value, _ = packing._price([int(g[-1]) // 4 for g in groups], np.full(len(groups), 1e-9))
+        assert value > 0
+        bound = max(bound, sum(n for _, n in packing.configurations([int(g[-1]) // 4 * 4 for g in groups], [len(g) for g in groups])) * (1 - packing.GAP))
+    plain = packing.Bins()
+    packing._fit(plain, list(range(len(lengths))), lengths)
+    count = packing.pack(lengths)[2]
+    assert count <= bound * 1.015 + 1 and count <= len(plain.items)
+
+
+def test_tokenizer_on_any_code_points():
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    rng = random.Random(6)
+    texts = ["\u1c89", "\u1acd\u0c3c", "\u0301\u0d3c", "\ud7a3\u11a8", "a\u0130b", "Σσς", "\x85\x0b\x1f", "\ufeffx", "\U0001f9d1\u200d\U0001f692"]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x250, 0x3100), rng.randrange(0xA000, 0xD7FF), rng.randrange(0xF900, 0x1FAFF)])) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    texts += ["".join(rng.choice(packing.PLAIN) for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(tok.ids(t), "<u4").tolist() == tok.whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_pack_documents(spark, rows):
     got = packing.pack_documents(make_docs(spark, rows)).collect()
     tok = packing.WordTokenizer(packing.default_tokenizer())
