@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows of documents handed to Python at once; whole texts can be long.
 ARROW_ROWS = 512
 ARROW_BYTES = 8 << 20
+#: Narrow rows (some numbers) for each task that writes a table whose size is known.
+NARROW_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +70,10 @@ class Scratch:
         self.paths: dict[int, str] = {}
         atexit.register(_remove_at_exit, spark, self.root)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write and read again; a table of about so many narrow rows by as many tasks as they ask for."""
+        if rows is not None and (parts := 1 + rows // NARROW_ROWS) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(parts)
         self.count += 1
         path = f"{self.root}/t{self.count}"
         df.write.parquet(path)
@@ -112,11 +117,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     Returns (node, root), the root being the least node reachable. Each step reads a written
     table, so both sides of each join are plain shuffles that Spark can split where a hub is hot;
-    minima are combined before the shuffle. No links: an empty result.
+    minima are combined before the shuffle. Tables are written by as many tasks as the links ask for.
+    No links: an empty result.
     """
-    def stars(directed: DataFrame, neighbours: DataFrame) -> DataFrame:
-        least = scratch.save(neighbours.groupBy("u").agg(F.min("v").alias("m")))
-        out = scratch.save(directed(neighbours, least).where("a <> b").distinct())
+    def stars(directed: Callable, neighbours: DataFrame) -> DataFrame:
+        least = scratch.save(neighbours.groupBy("u").agg(F.min("v").alias("m")), seen[0])
+        out = scratch.save(directed(neighbours, least).where("a <> b").distinct(), seen[0])
         scratch.drop(least)
         return out
 

@@ -293,13 +293,14 @@ def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame, number: str)
     Sets that share a cell are compared, all of them exactly and none that are linked already: first
     each with the one that looks most alike, then those of cells that hold several groups still.
     """
-    cells = scratch.save(rows.where("fp <> 0").groupBy("fp").agg(F.min("row").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")))
+    n = rows.count()
+    cells = scratch.save(rows.where("fp <> 0").groupBy("fp").agg(F.min("row").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")), 4 * n)
     every = scratch.save(cells.select(F.explode("cells").alias("cell"), F.col("fp").alias("id")))
     shared = every.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    each = scratch.save(every.join(shared.hint("merge"), "cell"))
-    wanted = scratch.save(each.select("id").distinct())
-    known = scratch.save(cells.join(wanted.hint("merge"), cells["fp"] == wanted["id"]).select("id", "first", "sketch"))
-    placed = scratch.save(each.join(known.hint("merge"), "id").select("cell", "id", "sketch"))
+    each = scratch.save(every.join(shared.hint("merge"), "cell"), 4 * n)
+    wanted = scratch.save(each.select("id").distinct(), n)
+    known = scratch.save(cells.join(wanted.hint("merge"), cells["fp"] == wanted["id"]).select("id", "first", "sketch"), n)
+    placed = scratch.save(each.join(known.hint("merge"), "id").select("cell", "id", "sketch"), 4 * n)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,7 +319,7 @@ def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame, number: str)
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     links = scratch.save(held.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
     known_roots = scratch.save(components(scratch, links))
-    named = scratch.save(placed.join(known_roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("cell", "id", "sketch", F.coalesce("root", "id").alias("root")))
+    named = scratch.save(placed.join(known_roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("cell", "id", "sketch", F.coalesce("root", "id").alias("root")), 4 * n)
     mixed = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
     open_cells = scratch.save(named.join(mixed.hint("merge"), "cell").join(sets.hint("merge"), "id").select("cell", "id", "sketch", "root", "shingles"))
     more = scratch.save(by_cell(scratch, open_cells, NEAR_BLOCK, _checked, "a long, b long"))
@@ -328,9 +329,10 @@ def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame, number: str)
 
 def _firsts(scratch: Scratch, docs: DataFrame, mine: DataFrame, rows: DataFrame, roots: DataFrame, number: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    each = scratch.save(rows.groupBy("fp").agg(first))
+    n = rows.count()
+    each = scratch.save(rows.groupBy("fp").agg(first), n)
     grouped = each.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    stay = scratch.save(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(number)))
+    stay = scratch.save(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(number)), n)
     # a row for each document that stays: never a side to broadcast, whatever its size today
     return mine.join(stay.hint("merge"), number, "left_semi").select(*docs.columns)
 
