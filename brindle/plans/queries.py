@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from brindle.functions import judging as J
 from brindle.functions import querygen as G
