@@ -192,6 +192,15 @@ def test_spelling(spark):
     assert one(spark, lambda c: spelling.osa_distance(c, F.lit("abc")), "ca") == 3
 
 
+def test_spelling_by_bytes(spark):
+    pairs = spark.createDataFrame([("ca", "abc", 2), ("ñ", "n", 2), ("ñadobo", "adobo", 2), ("ñadobo", "ñadoco", 1), ("é", "è", 1), ("", "ab", 2), ("same", "same", 0)], "a string, b string, d int")
+    assert all(r["d"] == r["o"] for r in pairs.select("d", spelling.byte_distance("a", "b").alias("o")).collect())
+    words = spark.createDataFrame([("adobo", 1), ("ñadoco", 1)], "term string, freq long")
+    q = spark.createDataFrame([(1, "ñadobo")], "qid int, query string")
+    assert spelling.correct(q, words).first()["corrected"] == "adobo"
+    assert spelling.correct(q, words, measure=spelling.byte_distance).first()["corrected"] == "ñadoco"
+
+
 def test_embedding_cost_is_linear_and_vectors_are_units(spark):
     words = spark.createDataFrame([(i, " ".join(f"word{i * j}" for j in range(200))) for i in range(40)] + [(40, None), (41, "")], "i int, t string")
     for dim in (16, 256):
