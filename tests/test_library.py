@@ -1,6 +1,7 @@
 """Cases of the library that SQL doesn't check, and properties of its plans."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -243,6 +244,16 @@ def test_trials_meet_the_closed_form(spark):
     assert all(got[q] == pytest.approx(want[q], abs=0.02) for q in want) and got["b"] == 1.0 and got["c"] == 0.0
 
 
+def test_trials_of_a_large_pool(spark):
+    pools = spark.createDataFrame([(f"q{i}", 50_000_000, 25_000_000) for i in range(4)], "query string, pool int, relevant int")
+    began = time.perf_counter()
+    got = {r["query"]: r["random_mrr"] for r in metrics.random_mrr_trials(pools, 4000).collect()}
+    want = pools.select(metrics.random_mrr(F.col("pool"), F.col("relevant")).alias("m")).first()["m"]
+    assert all(v == pytest.approx(want, abs=0.03) for v in got.values()) and len(set(got.values())) > 1
+    assert time.perf_counter() - began < 60
+    assert got == {r["query"]: r["random_mrr"] for r in metrics.random_mrr_trials(pools, 4000).collect()}
+
+
 def test_citations(spark):
     answer = 'I like **Dune** and _Emma Woods_, "[2] The Lost One" and "ok".'
     assert one(spark, lambda c: unsupported_titles(c, F.array(F.lit("Dune Messiah"), F.lit("emma woods"))), answer) == ["[2] The Lost One"]
