@@ -12,6 +12,7 @@ from brindle.functions import text as X
 from brindle.functions.judging import vote
 from brindle.functions.rag import unsupported_titles
 from brindle.operators import agreement, bootstrap, dense, etl, language, metrics, ranking, sampling, sparse, spelling
+from brindle.plans import queries
 from brindle.plans.engine import Engine, Index, build_index, lexical_scorer, model_scorer, understand
 from brindle.sources import tables
 
@@ -244,6 +245,46 @@ def test_trials_meet_the_closed_form(spark):
     assert all(got[q] == pytest.approx(want[q], abs=0.02) for q in want) and got["b"] == 1.0 and got["c"] == 0.0
 
 
+def test_block_search_is_keyword_search(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(sparse, "SCORE_ROWS", 9)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randrange(60)))) for i in range(90)] + [(90, None), (91, "only here"), (92, "only here")], "key long, text string")
+    asked = docs.where("key % 4 = 3").selectExpr("key AS qid", "text AS query").unionByName(spark.createDataFrame([(500, "unseen"), (501, "")], "qid long, query string"))
+    counts = sparse.term_counts(docs, "key", F.col("text"))
+    voc = sparse.fit_vocabulary(counts, docs.count())
+    want = sparse.search(sparse.weigh(counts, voc, "key"), voc, asked, 5)
+    for most in (sparse.MAX_QUERY_BYTES, 0):
+        monkeypatch.setattr(sparse, "MAX_QUERY_BYTES", most)
+        for share in (0, 8, 10**9):
+            monkeypatch.setattr(sparse, "DENSE_SHARE", share)
+            got = sparse.block_search(sparse.weighted_rows(counts, voc, "key"), voc, asked, 5)
+            assert {(r["qid"], r["rank"], r["key"], round(r["score"], 8)) for r in got.collect()} == {(r["qid"], r["rank"], r["key"], round(r["score"], 8)) for r in want.collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (term" not in plan.split("MapInArrow")[0]
+
+
+def test_vectors_need_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(queries, "stored_index", None)
+    assert queries.vector_topk(spark, SF).count() > 0
+
+
+def test_grades_are_counted_where_they_are(spark):
+    rng = random.Random(8)
+    rows = [(f"q{q}", f"w{w}", rng.choice([0, 0, 1, 2, 3, None])) for q in range(5) for w in range(q * 9)] + [("none", "w", None), ("zero", "w", 0)]
+    grades = spark.createDataFrame(rows, "query string, work_id string, grade int")
+    got = {r["query"]: (r["idcg"], r["relevant_total"]) for r in metrics.ideal_dcg(grades, 10).collect()}
+    assert set(got) == {q for q, _, g in rows if g is not None}
+    for q in got:
+        best = sorted((g for x, _, g in rows if x == q and g is not None), reverse=True)
+        assert got[q] == (pytest.approx(sum(g / np.log2(i + 2) for i, g in enumerate(best[:10]))), sum(g > 0 for g in best))
+    ranked = spark.createDataFrame([("m", "q4", i, f"w{i}") for i in range(1, 9)] + [("m", "new", 1, "w1")], "mode string, query string, rank int, work_id string")
+    judged = metrics.judged(ranked, grades)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and judged.count() == 9
+    assert "Window" in metrics.ideal_dcg(grades)._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [query")[1]
+
+
 def test_trials_of_a_large_pool(spark):
     pools = spark.createDataFrame([(f"q{i}", 50_000_000, 25_000_000) for i in range(4)], "query string, pool int, relevant int")
     began = time.perf_counter()
