@@ -12,20 +12,22 @@ from brindle.operators.ranking import small_side
 
 
 def judged(rankings: DataFrame, grades: DataFrame) -> DataFrame:
-    """Each ranked document with its grade; an unjudged one counts 0."""
+    """Each ranked document with its grade; an unjudged one counts 0. Grades of other documents go before anything is
+    shuffled, where the rankings are few."""
     known = grades.where("grade is not null").select("query", "work_id", "grade")
+    known = known.join(small_side(rankings.select("query", "work_id")), ["query", "work_id"], "left_semi")
     return rankings.join(known, ["query", "work_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
 def ideal_dcg(grades: DataFrame, k: int = 10) -> DataFrame:
-    """(query, idcg, relevant_total): the best order of all judged documents, and how many are relevant. Each
-    query's documents are cut to the k best before they meet; the count is combined on the map side."""
-    known = grades.where("grade is not null")
-    w = W.partitionBy("query").orderBy(F.col("grade").desc(), "work_id")
-    best = known.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    gain = F.when(F.col("grade") > 0, F.col("grade") / F.log2(F.col("place") + 1)).otherwise(0.0)
-    total = known.groupBy("query").agg(F.count_if(F.col("grade") > 0).alias("relevant_total"))
-    return total.join(best.groupBy("query").agg(F.sum(gain).alias("idcg")), "query").select("query", "idcg", "relevant_total")
+    """(query, idcg, relevant_total): the best order of all judged documents, and how many are relevant. Documents
+    of one grade stand together there, so their number is enough; it is combined on the map side."""
+    counts = grades.where("grade is not null").groupBy("query", "grade").agg(F.count("*").alias("n"))
+    w = W.partitionBy("query").orderBy(F.col("grade").desc())
+    placed = counts.withColumn("last", F.sum("n").over(w)).withColumn("first", F.col("last") - F.col("n") + 1)
+    places = F.when((F.col("grade") > 0) & (F.col("first") <= k), F.sequence(F.col("first"), F.least(F.col("last"), F.lit(k).cast("long")))).otherwise(F.array().cast("array<long>"))
+    gain = F.aggregate(places, F.lit(0.0), lambda total, place: total + F.col("grade") / F.log2(place + 1))
+    return placed.groupBy("query").agg(F.sum(gain).alias("idcg"), F.coalesce(F.sum(F.when(F.col("grade") > 0, F.col("n"))), F.lit(0)).alias("relevant_total"))
 
 
 def query_metrics(rankings: DataFrame, grades: DataFrame, k: int = 10, at_least: int = 1) -> DataFrame:
