@@ -21,6 +21,8 @@ from brindle.sources.tables import BOOK, write_shards
 
 SLICE_ROWS = 500
 IDLE_SECONDS = 30.0
+#: Tasks that a looping worker does in one job.
+TASKS_AT_ONCE = 128
 
 
 def slice_schema() -> T.StructType:
@@ -135,15 +137,44 @@ def process(spark: SparkSession, store: ObjectStore, queue: FileQueue | KafkaQue
     return queue.ack(message)
 
 
+def _folder(store: ObjectStore, key: str) -> str:
+    path, fs = store._at(key)
+    return fs.makeQualified(path).toUri().getRawPath().rstrip("/")
+
+
+def process_together(spark: SparkSession, store: ObjectStore, queue: FileQueue, messages: list[Message], out: str, embed: Callable[[Column], Column], dim: int, errors: str | None = None) -> int:
+    """Several tasks in one job, each acknowledged when all are written. Where the job fails, each half is tried for
+    itself, down to the task that fails. Returns the failures."""
+    if len(messages) == 1:
+        return int(not process(spark, store, queue, messages[0], out, embed, dim, errors))
+    try:
+        ids = {_folder(store, m.body["blob_path"]): m.body["batch_id"] for m in messages}
+        if len(set(ids.values())) < len(messages):
+            raise ValueError("two tasks share a slice or its id")
+        schema = T.StructType([f for f in slice_schema().fields if f.name != "batch_id"])
+        some = spark.read.schema(schema).json([f"{store.root}/{m.body['blob_path']}" for m in messages])
+        folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", ""), r"/[^/]*$", "")
+        batch = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))[folder]
+        some = some.withColumn("batch_id", F.coalesce(batch, F.raise_error(F.concat(F.lit("a file of no task: "), folder)).cast("string")))
+        vectors = embed_slices(some, embed, dim)
+        if not vectors.isEmpty():
+            write_shards(vectors, out)
+    except Exception:  # noqa: BLE001
+        half = len(messages) // 2
+        return sum(process_together(spark, store, queue, part, out, embed, dim, errors) for part in (messages[:half], messages[half:]))
+    return sum(not queue.ack(m) for m in messages)
+
+
 def work(spark: SparkSession, store: ObjectStore, queue: FileQueue | KafkaQueue, out: str, embed: Callable[[Column], Column], dim: int = 256, loop: bool = False, errors: str | None = None, idle: float = IDLE_SECONDS, wait: float = 0.5) -> int:
-    """Task by task: one, or with `loop` till nothing came for `idle` seconds. Returns the failures."""
+    """Task by task: one, or with `loop` till nothing came for `idle` seconds, where a file queue's tasks are done
+    TASKS_AT_ONCE in a job. Returns the failures."""
     probe(spark, embed)
     failures, quiet = 0, time.monotonic()
     try:
         while True:
-            got = queue.receive(1)
-            for message in got:
-                failures += not process(spark, store, queue, message, out, embed, dim, errors)
+            got = queue.receive(TASKS_AT_ONCE if loop and isinstance(queue, FileQueue) else 1)
+            if got:
+                failures += process_together(spark, store, queue, got, out, embed, dim, errors)
                 quiet = time.monotonic()
             if not loop or (not got and time.monotonic() - quiet >= idle):
                 return failures

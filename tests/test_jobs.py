@@ -71,6 +71,19 @@ def test_worker_does_each_slice_for_itself(spark, tmp_path):
         E.work(spark, store, queue, out, lambda c: F.raise_error(F.lit("no model")), 16)
 
 
+def test_worker_does_many_slices_in_a_job(spark, tmp_path, monkeypatch):
+    store, embed = ObjectStore(spark, str(tmp_path / "a b=c")), lambda c: dense.hashed_embedding(c, 16)
+    queue = get_queue(store, "files", "embed", visibility=60)
+    n = E.send_tasks(make_books(spark), store, queue, size=1)
+    written, write = [], E.write_shards
+    monkeypatch.setattr(E, "write_shards", lambda df, path: (written.append(1), write(df, path)))
+    out, errors = str(tmp_path / "out"), str(tmp_path / "errors")
+    assert E.work(spark, store, queue, out, embed, 16, loop=True, errors=errors, idle=0) == 0
+    assert n > 3 and len(written) == 1 and store.list("embed/new/") == store.list("embed/taken/") == []
+    back = spark.read.parquet(out).select("batch_id", "start_idx").collect()
+    assert len(back) == 8 and all(r["batch_id"] == f"batch-{r['start_idx']:06d}" for r in back)
+
+
 def test_stream_goes_on_past_a_bad_slice(spark, tmp_path):
     def embed(text):
         return F.when(F.contains(text, F.lit("gardens")), F.raise_error(F.lit("bad slice")).cast("array<double>")).otherwise(dense.hashed_embedding(text, 16))
