@@ -11,6 +11,7 @@ minimizers of longer and longer strings, at last of WINDOW bytes. What is left i
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +114,23 @@ def stretches(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, offsets: n
     return out
 
 
+def pack_records(r: np.ndarray) -> bytes:
+    """Records column by column; places and lengths byte by byte, as most of their bytes are zero, and compressed."""
+    small = np.concatenate([np.ascontiguousarray(r[c]).view(np.uint8).reshape(len(r), r.dtype[c].itemsize).T.ravel() for c in ("doc", "row", "at", "len", "twice")])
+    return b"".join(np.ascontiguousarray(r[c]).tobytes() for c in ("v", "d", "e")) + zlib.compress(small.tobytes(), 1)
+
+
+def unpack_records(blob: bytes, n: int) -> np.ndarray:
+    out = np.empty(n, RECORD)
+    for i, c in enumerate(("v", "d", "e")):
+        out[c] = np.frombuffer(blob, "<u8", n, 8 * n * i)
+    small = np.frombuffer(zlib.decompress(memoryview(blob)[24 * n :]), np.uint8)
+    for i, c in enumerate(("doc", "row", "at", "len")):
+        out[c] = np.ascontiguousarray(small[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view("<i8").ravel()
+    out["twice"] = small[32 * n :].view("?")
+    return out
+
+
 def split_first(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(records sorted by minimizer and stretch, which of them are the first of their stretch)."""
     r = r[np.lexsort((r["at"], r["row"], r["doc"], r["len"], r["e"], r["d"], r["v"]))]
@@ -147,15 +165,15 @@ def find_stretches(pieces: DataFrame, buckets: int, level: int = 0) -> DataFrame
 
         def flush() -> pa.RecordBatch:
             r, first = split_first(np.concatenate(held))
-            blobs = [(int(x["row"][0]) % buckets, REMOVED, x.tobytes()) for x in [r[~first]] if len(x)]
+            blobs = [(int(x["row"][0]) % buckets, REMOVED, len(x), pack_records(x)) for x in [r[~first]] if len(x)]
             r = r[first]
             bucket = (r["v"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             r, bucket = r[order], bucket[order]
             cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(r)) if len(r) else []
-            blobs += [(int(bucket[s]), SORT, r[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            b, k, x = zip(*blobs, strict=True) if blobs else ((), (), ())
-            return pa.record_batch([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "kind", "blob"])
+            blobs += [(int(bucket[s]), SORT, int(e - s), pack_records(r[s:e])) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            b, k, n, x = zip(*blobs, strict=True) if blobs else ((), (), (), ())
+            return pa.record_batch([*(pa.array(c, pa.int32()) for c in (b, k, n)), pa.array(x, pa.binary())], names=["bucket", "kind", "n", "blob"])
 
         for b in batches:
             ids, docs, ats = (b.column(i).to_numpy() for i in range(3))
@@ -177,11 +195,11 @@ def find_stretches(pieces: DataFrame, buckets: int, level: int = 0) -> DataFrame
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in cell_runs(batches, 1):
-            bucket, kinds, blobs = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist()
+            bucket, kinds, counts, blobs = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist(), t.column(3).to_pylist()
             cuts = run_starts([bucket])
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                done = [np.frombuffer(blobs[i], RECORD) for i in range(s, e) if kinds[i] == REMOVED]
-                some = [np.frombuffer(blobs[i], RECORD) for i in range(s, e) if kinds[i] != REMOVED]
+                done = [unpack_records(blobs[i], counts[i]) for i in range(s, e) if kinds[i] == REMOVED]
+                some = [unpack_records(blobs[i], counts[i]) for i in range(s, e) if kinds[i] != REMOVED]
                 for r in done:
                     yield _found(REMOVED, r)
                 if not some:
@@ -199,7 +217,7 @@ def find_stretches(pieces: DataFrame, buckets: int, level: int = 0) -> DataFrame
                     if pick.any():
                         yield _found(kind, r[pick])
 
-    sent = pieces.mapInArrow(send, "bucket int, kind int, blob binary")
+    sent = pieces.mapInArrow(send, "bucket int, kind int, n int, blob binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND)
 
 

@@ -554,3 +554,14 @@ def test_numerals_are_no_letters():
     net = language_id.ByteConvNet(["de", "en"])
     assert language_id.predict(net, ["½ ²³ Ⅷ", "٣", "a½", None, "", "__"])[0][:2] == ["und", "und"]
     assert [n == "und" for n in language_id.predict(net, ["½ ²³ Ⅷ", "٣", "a½", None, "", "__"])[0]] == [True, True, False, True, True, True]
+
+
+def test_records_are_sent_in_few_bytes():
+    from brindle.llm import suffix_dedup as D
+
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, 3000, dtype=np.uint8)) for _ in range(60)]
+    r, _ = D.split_first(D.stretches(texts, np.arange(60) + 40_000, np.arange(60) + (7 << 33), np.zeros(60, np.int64), 0))
+    for some in (r, r[:1], r[:0]):
+        assert (D.unpack_records(D.pack_records(some), len(some)) == some).all()
+    assert len(D.pack_records(r)) < 0.7 * r.nbytes
