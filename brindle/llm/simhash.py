@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,17 +23,17 @@ SEGMENTS = 32
 BANDS = ((1 << 27, 6), (1 << 31, 7), (1 << 63, 9))
 BLOCK = 1024
 #: The pipeline's stage has values of its own: texts are near from a Jaccard similarity of 4/5 of their
-#: five-word shingles on. Pairs are found by MinHash: of 24 bands of 5 values one must agree, which
-#: misses a pair of 0.8 in 1 of 13,000 cases, nearer ones more rarely. Pairs found are checked exactly.
+#: five-word shingles on. Fingerprints have WORDS * 64 bits, of which a pair of 4/5 has 15 % different (39 of 256, deviation 5.7)
+#: and a random pair half; those of up to NEAR_LIMIT different bits link, and what links is checked exactly.
 NEAR_WORDS = 5
 NEAR = (4, 5)
-NEAR_BANDS, NEAR_ROWS = 24, 5
-#: Bytes of a signature that show which members of a cell are alike; a pair of 0.8 shares fewer than
-#: LEAST_ALIKE in under 1 of 500,000 cases.
-SKETCH, LEAST_ALIKE = 32, 13
-#: Members of a cell that are held with their shingles at once.
-NEAR_BLOCK = 128
-_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, (NEAR_BANDS * NEAR_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORDS, NEAR_LIMIT = 4, 72
+#: Grid tables: the cell that a fingerprint meets has CELL others or up to 8/3 as many; tables go on until a pair of 4/5
+#: shares a cell but in one of 1 / NEAR_MISS cases. ROUND tables are joined at a time, which bounds the disk.
+CELL, NEAR_MISS, ROUND = 2048, 1e-4, 16
+#: Members of a grid cell, and of a group that is checked with its shingles, that are held at once.
+WIDE_BLOCK, NEAR_BLOCK = 4096, 128
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, (WORDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ONES = np.uint64(0x0101010101010101)
 
 
@@ -152,11 +154,14 @@ def _near(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _lower_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Manhattan distance of the segment counts, which is at most the Hamming distance."""
+    return np.bitwise_count(_unary(a) ^ _unary(b))
+
+
+def _unary(x: np.ndarray) -> np.ndarray:
+    """The segment counts 0, 1, 2 in unary (00, 01, 11): the ones of a XOR are the sum of the differences."""
     m = np.uint64(0x5555555555555555)
-    x, y = a - ((a >> np.uint64(1)) & m), b - ((b >> np.uint64(1)) & m)
-    # counts 0, 1, 2 in unary (00, 01, 11): the ones of their XOR are the sum of the differences
-    x, y = x | ((x >> np.uint64(1)) & m), y | ((y >> np.uint64(1)) & m)
-    return np.bitwise_count(x ^ y)
+    x = x - ((x >> np.uint64(1)) & m)
+    return x | ((x >> np.uint64(1)) & m)
 
 
 def fingerprint_groups(scratch: Scratch, rows: DataFrame) -> DataFrame:
@@ -197,10 +202,20 @@ def shingles_of(text: str | None) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(words[i : i + NEAR_WORDS]), SEED) for i in range(runs)], np.uint64))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash: the least value of the shingles under each of NEAR_BANDS * NEAR_ROWS multipliers."""
-    least = [(_MULTIPLIERS * shingles[None, k : k + 4096]).min(axis=1) for k in range(0, len(shingles), 4096)]
-    return np.min(least, axis=0)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in WORDS words: each shingle's hash is mixed anew for each word,
+    and a bit is set if it is in over half of them."""
+    counts = np.zeros((8, WORDS, 8), np.int64)
+    for k in range(0, len(shingles), 255 * 256):
+        h = _MULTIPLIERS * shingles[None, k : k + 255 * 256]
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        padded = np.zeros((WORDS, -(-h.shape[1] // 255), 255), np.uint64)
+        padded.reshape(WORDS, -1)[:, : h.shape[1]] = h
+        for bit in range(8):  # as in `majority`
+            sums = ((padded >> np.uint64(bit)) & _ONES).sum(axis=2, dtype=np.uint64)
+            counts[bit] += sums.view(np.uint8).reshape(WORDS, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(np.moveaxis(counts, 0, 2) * 2 > len(shingles), axis=2, bitorder="little").reshape(-1).view(np.uint64)
 
 
 def is_near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -210,48 +225,145 @@ def is_near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _near_rows(docs: DataFrame, number: str) -> DataFrame:
-    """doc_id, row (of the column `number`), fp (a hash of the set of shingles, 0 if empty), cells and sketch."""
+    """doc_id, row (of the column `number`), fp (a hash of the set of shingles, 0 if empty), many (the size of the set)
+    and w0, w1, ...: its wide fingerprint."""
     bounded_batches(docs.sparkSession)
     narrow = docs.select("doc_id", F.col(number).alias("row"), "text")
+    words = [f"w{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, cells, sketch = [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingles_of(text)
-                fp.append(_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0)
-                sig = signature(s) if len(s) else np.zeros(0, np.uint64)
-                bands = sig.reshape(-1, NEAR_ROWS)
-                cells.append([_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(bands)])
-                sketch.append(sig[:SKETCH].astype(np.uint8).tobytes())
-            yield pa.record_batch([*b.columns[:2], pa.array(fp, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "row", "fp", "cells", "sketch"])
+            sets = [shingles_of(t) for t in b.column(2).to_pylist()]
+            fp = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets]
+            wide = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS).T.copy().view(np.int64)
+            yield pa.record_batch([*b.columns[:2], pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, wide)], names=["doc_id", "row", "fp", "many", *words])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, row long, fp long, cells array<long>, sketch binary")
+    return narrow.mapInArrow(run, f"doc_id {kind}, row long, fp long, many long, " + ", ".join(f"{w} long" for w in words))
+
+
+def near_tables(n: int) -> list[np.ndarray]:
+    """The segments whose counts are the cell, for each grid table of n wide fingerprints.
+
+    Unlike at LIMIT no choice of bands holds every pair of the radius, so segments are drawn, as many as
+    bring cells near CELL (two random counts are equal in 3/8 of cases), and tables follow until the chance
+    that a pair of similarity NEAR shares no cell, over all numbers of different bits it may have, is NEAR_MISS.
+    Few fingerprints are one cell.
+    """
+    segments = 0 if n <= WIDE_BLOCK else math.floor(math.log(n / CELL) / math.log(8 / 3))
+    if not segments:
+        return [np.zeros(0, int)]
+    j, bits = NEAR[0] / NEAR[1], 64 * WORDS
+    p = math.acos(2 * j / (1 + j)) / math.pi
+    law = np.array([math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)])
+    x = np.arange(bits + 1) / bits
+    apart = 1 - ((1 - x) ** 2 + x * x / 2) ** segments
+    tables = 1
+    while law @ apart**tables > NEAR_MISS:
+        tables += 1
+    rng, out = np.random.default_rng(7), []
+    while len(out) < tables:  # tables of one permutation share no segment
+        order = rng.permutation(SEGMENTS * WORDS)
+        out += [order[k : k + segments] for k in range(0, len(order) - segments + 1, segments)]
+    return out[:tables]
+
+
+def near_cells(known: DataFrame, tables: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """(cell, id, many, w0, w1, ...): each wide fingerprint in its cell of each of the numbered grid tables."""
+    words = [f"w{k}" for k in range(WORDS)]
+    counted = known.select("id", "many", *words, *[segment_counts(F.col(w)).alias(f"counts_{w}") for w in words])
+    keys = []
+    for t, chosen in tables:
+        counts = []
+        for k, w in enumerate(words):
+            if mask := sum(3 << (2 * (int(c) % SEGMENTS)) for c in chosen if c // SEGMENTS == k):
+                counts.append(F.col(f"counts_{w}").bitwiseAND(F.lit(_signed(mask))))
+        keys.append(F.xxhash64(*counts, F.lit(t)))
+    return counted.select(F.explode(F.array(*keys)).alias("cell"), "id", "many", *words)
+
+
+def _wide(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Parts, ids, sizes and fingerprints (a row for each word) of rows for the comparison of cells."""
+    words = np.array([t.column(6 + k).to_numpy() for k in range(WORDS)], np.int64).view(np.uint64)
+    return *(t.column(k).to_numpy() for k in (3, 4, 5)), words
+
+
+def _wide_links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of NEAR_LIMIT between wide fingerprints of each group of blocks, as the edges of a forest. Sets whose
+    sizes rule NEAR out aren't compared, nor those that are linked already."""
+    cell, left, right = (t.column(i).to_numpy() for i in range(3))
+    part, ids, size, words = _wide(t)
+    starts = run_starts([cell, left, right])
+    from_a, to_b = [], []
+    for s, e in zip(starts[:-1], starts[1:], strict=True):
+        order = s + np.argsort(size[s:e], kind="stable")
+        n, own, many = e - s, part[order], size[order]
+        bits = words[:, order]
+        unary = _unary(bits)
+        same = left[s] == right[s]
+        rows, cols = (np.arange(n),) * 2 if same else (np.flatnonzero(own == left[s]), np.flatnonzero(own == right[s]))
+        most, others = many[cols], unary[:, cols]
+        root = np.arange(n)
+        for k in range(0, len(rows), 64):
+            some = rows[k : k + 64]
+            lo = np.searchsorted(most, -(-many[some[0]] * NEAR[0] // NEAR[1]))
+            hi = k + len(some) if same else np.searchsorted(most, many[some[-1]] * NEAR[1] // NEAR[0], "right")
+            if lo >= hi:
+                continue
+            low = np.bitwise_count(unary[0, some, None] ^ others[0, None, lo:hi])
+            for w in range(1, WORDS):  # a sum of 256 wraps to 0: then the exact count decides
+                low += np.bitwise_count(unary[w, some, None] ^ others[w, None, lo:hi])
+            i, j = np.nonzero(low <= NEAR_LIMIT)
+            i, j = some[i], cols[lo + j]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            near = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=int) <= NEAR_LIMIT
+            near &= np.minimum(many[i], many[j]) * NEAR[1] >= np.maximum(many[i], many[j]) * NEAR[0]
+            if near.any():
+                root = forest(n, np.append(np.arange(n), i[near]), np.append(root, j[near]))
+        linked = np.flatnonzero(root != np.arange(n))
+        from_a.append(ids[order[linked]])
+        to_b.append(ids[order[root[linked]]])
+    a, b = np.concatenate(from_a), np.concatenate(to_b)
+    if len(a):
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def similar_fingerprints(scratch: Scratch, known: DataFrame, n: int) -> DataFrame:
+    """(cell, id, many, w0, w1, ...): the wide fingerprints that link with another one, by the least id reachable.
+    The grid join of `fingerprint_groups`, for the n fingerprints of `known`, a written table."""
+    tables = list(enumerate(near_tables(n)))
+    found = [scratch.save(by_cell(scratch, near_cells(known, tables[k : k + ROUND]), WIDE_BLOCK, _wide_links, "a long, b long")) for k in range(0, len(tables), ROUND)]
+    roots = scratch.save(components(scratch, reduce(DataFrame.unionByName, found)))
+    scratch.drop(*found)
+    cells = roots.select(F.col("root").alias("cell"), F.col("node").alias("id")).unionByName(roots.select(F.col("root").alias("cell"), F.col("root").alias("id")).distinct())
+    out = scratch.save(cells.join(known.hint("merge"), "id").select("cell", "id", "many", *[f"w{k}" for k in range(WORDS)]), n)
+    scratch.drop(roots)
+    return out
 
 
 def _alike(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each group of blocks: where it starts in `t`, and how many bytes of the sketches agree for
+    """For each group of blocks: where it starts in `t`, and how far within NEAR_LIMIT the fingerprints are for
     each pair that the group is to compare (row above column), in rows ordered by id; 0 elsewhere."""
     cell, left, right = (t.column(i).to_numpy() for i in range(3))
-    part, ids = t.column(3).to_numpy(), t.column(4).to_numpy()
-    sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(ids), SKETCH)
+    part, ids, size, words = _wide(t)
     starts = run_starts([cell, left, right])
     for s, e in zip(starts[:-1], starts[1:], strict=True):
         order = s + np.argsort(ids[s:e], kind="stable")
-        x, own = sketch[order], part[order]
-        same = np.zeros((len(x), len(x)), np.uint8)
-        for k in range(0, len(x), 128):
-            same[k : k + 128] = (x[k : k + 128, None] == x[None]).sum(axis=2, dtype=np.uint8)
+        x, own, many = words[:, order], part[order], size[order]
+        same = np.zeros((len(own), len(own)), np.uint8)
+        for k in range(0, len(own), 64):
+            apart = np.bitwise_count(x[:, k : k + 64, None] ^ x[:, None]).sum(axis=0, dtype=np.int16)
+            few, lots = np.minimum(many[k : k + 64, None], many), np.maximum(many[k : k + 64, None], many)
+            same[k : k + 64] = np.where(few * NEAR[1] >= lots * NEAR[0], np.maximum(NEAR_LIMIT + 1 - apart, 0), 0)
         same = np.tril(same, -1)
         if left[s] != right[s]:
             same[own[:, None] == own[None]] = 0
-        same[same < LEAST_ALIKE] = 0
         yield s, order, same
 
 
 def _likely(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Each member with the earlier one whose sketch is most alike, the nearest of several."""
+    """Each member with the earlier one whose fingerprint is most alike, the nearest of several."""
     ids, a, b = t.column(4).to_numpy(), [], []
     for _, order, same in _alike(t):
         best = same.shape[1] - 1 - same[:, ::-1].argmax(axis=1)
@@ -264,7 +376,7 @@ def _likely(t: pa.Table) -> Iterator[pa.RecordBatch]:
 def _checked(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """Links between members of different roots, by their sets of shingles; what a link has joined is
     not compared again."""
-    ids, roots, sets = t.column(4).to_numpy(), t.column(6).to_numpy(), t.column(7)
+    ids, roots, sets = t.column(4).to_numpy(), t.column(6 + WORDS).to_numpy(), t.column(7 + WORDS)
     for _, order, same in _alike(t):
         i, j = np.nonzero(same)
         _, group = np.unique(roots[order], return_inverse=True)
@@ -290,23 +402,23 @@ def _checked(t: pa.Table) -> Iterator[pa.RecordBatch]:
 def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame, number: str) -> DataFrame:
     """(fp, root) of the sets of shingles that link with another one, by links of NEAR or more.
 
-    Sets that share a cell are compared, all of them exactly and none that are linked already: first
-    each with the one that looks most alike, then those of cells that hold several groups still.
+    Wide fingerprints that link are found by segment counts, grid tables and the Hamming distance. The sets
+    behind them are compared, all of them exactly and none that are linked already: first each with the
+    one that looks most alike, then those that are in several groups still. A set of under NEAR[0]
+    shingles is near no other.
     """
+    words = [f"w{k}" for k in range(WORDS)]
     n = rows.count()
-    cells = scratch.save(rows.where("fp <> 0").groupBy("fp").agg(F.min("row").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")), 4 * n)
-    every = scratch.save(cells.select(F.explode("cells").alias("cell"), F.col("fp").alias("id")))
-    shared = every.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    each = scratch.save(every.join(shared.hint("merge"), "cell"), 4 * n)
-    wanted = scratch.save(each.select("id").distinct(), n)
-    known = scratch.save(cells.join(wanted.hint("merge"), cells["fp"] == wanted["id"]).select("id", "first", "sketch"), n)
-    placed = scratch.save(each.join(known.hint("merge"), "id").select("cell", "id", "sketch"), 4 * n)
+    sets_of = rows.where(F.col("many") >= NEAR[0]).groupBy("fp").agg(F.min("row").alias("first"), *[F.first(c).alias(c) for c in ("many", *words)])
+    known = scratch.save(sets_of.withColumnRenamed("fp", "id"), 4 * n)
+    placed = similar_fingerprints(scratch, known, known.count())
+    wanted = scratch.save(known.select("id", "first").join(placed.select("id").hint("merge"), "id", "left_semi"), n)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles_of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    texts = mine.select(F.col(number).alias("first"), "text").join(known.select("id", "first").hint("merge"), "first")
+    texts = mine.select(F.col(number).alias("first"), "text").join(wanted.hint("merge"), "first")
     sets = scratch.save(texts.select("id", "text").mapInArrow(cut, "id long, shingles binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +431,11 @@ def near_groups(scratch: Scratch, mine: DataFrame, rows: DataFrame, number: str)
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     links = scratch.save(held.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
     known_roots = scratch.save(components(scratch, links))
-    named = scratch.save(placed.join(known_roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("cell", "id", "sketch", F.coalesce("root", "id").alias("root")), 4 * n)
+    named = scratch.save(placed.join(known_roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("cell", "id", "many", *words, F.coalesce("root", "id").alias("root")), 4 * n)
     mixed = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    open_cells = scratch.save(named.join(mixed.hint("merge"), "cell").join(sets.hint("merge"), "id").select("cell", "id", "sketch", "root", "shingles"))
+    open_cells = scratch.save(named.join(mixed.hint("merge"), "cell").join(sets.hint("merge"), "id").select("cell", "id", "many", *words, "root", "shingles"))
     more = scratch.save(by_cell(scratch, open_cells, NEAR_BLOCK, _checked, "a long, b long"))
-    scratch.drop(cells, every, each, wanted, known, placed, sets, pairs, links, named, open_cells)
+    scratch.drop(known, placed, wanted, sets, pairs, links, named, open_cells)
     return components(scratch, known_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("fp"), "root")
 
 
@@ -348,9 +460,9 @@ def drop_near(docs: DataFrame) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: as `drop_near`, by links of its own. Near are texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more, and all without words (null, empty, blank); a
-    group is what such links reach. Whole texts count, of any length."""
+    """The pipeline's stage: as `drop_near`, with values of its own and an exact check. Near are texts whose sets
+    of five-word shingles have a Jaccard similarity of 0.8 or more, and all without words (null, empty,
+    blank); a group is what such links reach. Whole texts count, of any length."""
     scratch, number = Scratch(docs.sparkSession, "simhash-stage"), free_name(docs, "number")
     mine = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
     rows = scratch.save(_near_rows(mine, number))

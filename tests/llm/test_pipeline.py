@@ -44,6 +44,55 @@ def test_stages(spark):
     assert P.run(spark, SF).count() == outs[4].count()
 
 
+def test_wide_fingerprint_against_loops():
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 255, 700, 255 * 256 + 3):
+        shingles = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        h = simhash._MULTIPLIERS * shingles
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        want = [sum(1 << b for b in range(64) if 2 * int(((w >> np.uint64(b)) & np.uint64(1)).sum()) > n) for w in h]
+        assert simhash.wide_fingerprint(shingles).tolist() == want
+
+
+def test_near_stage_gets_its_pairs_from_the_grid_of_segment_counts(spark, monkeypatch):
+    for name, value in (("CELL", 8), ("WIDE_BLOCK", 16), ("ROUND", 7)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(100):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60 + base)]
+        at = rng.choice(len(words) - 10, 1)[0] + 5
+        texts += [" ".join(words), " ".join([*words[:at], f"x{base}", *words[at + 1 :]])]
+    sets = [simhash.shingles_of(t) for t in texts]
+    bits = np.array([simhash.wide_fingerprint(s) for s in sets])
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=int)
+    rows = [(k, len(s), *(simhash._signed(int(w)) for w in b)) for k, (s, b) in enumerate(zip(sets, bits, strict=True))]
+    scratch = simhash.Scratch(spark, "test")
+    known = scratch.save(spark.createDataFrame(rows, "id long, many long, w0 long, w1 long, w2 long, w3 long"))
+    tables = simhash.near_tables(len(rows))
+    assert len(tables) > simhash.ROUND and len(tables[0]) == 3
+    cells = {}
+    for r in simhash.near_cells(known, list(enumerate(tables))).collect():
+        cells.setdefault(r["cell"], set()).add(r["id"])
+    counts = np.array([[(int(w) >> (2 * s) & 3).bit_count() for w in b for s in range(32)] for b in bits])
+    want = {frozenset(np.flatnonzero((counts[:, c] == row).all(axis=1)).tolist()) for c in tables for row in counts[:, c]}
+    assert {frozenset(c) for c in cells.values()} == want and max(map(len, cells.values())) > simhash.WIDE_BLOCK
+    group = {r["id"]: r["cell"] for r in simhash.similar_fingerprints(scratch, known, len(rows)).collect()}
+    root = np.arange(len(rows))
+    for i, j in zip(*np.nonzero(apart <= simhash.NEAR_LIMIT), strict=True):
+        root[root == root[i]] = root[j]
+    assert group and all(root[k] == root[v] for k, v in group.items())
+    near = [k for k in range(0, len(sets), 2) if simhash.is_near(sets[k], sets[k + 1])]
+    assert len(near) > 50 and all(group[k] == group[k + 1] for k in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_similar(docs).collect()} == set(range(len(texts))) - {k + 1 for k in near}
+    # no pair comes by another way
+    found = simhash.similar_fingerprints
+    monkeypatch.setattr(simhash, "similar_fingerprints", lambda *a: found(*a).limit(0))
+    assert simhash.drop_similar(docs).count() == len(texts)
+
+
 def test_near_stage_has_its_own_similarity(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     monkeypatch.setattr(simhash, "NEAR_BLOCK", 16)
