@@ -203,6 +203,12 @@ def test_spelling_by_bytes(spark):
     assert spelling.correct(q, words, measure=spelling.byte_distance).first()["corrected"] == "ñadoco"
 
 
+def test_every_item_is_spelled(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {r["qid"] for r in queries.spell_queries(spark, SF).select("qid").collect()}
+    assert got == {r["item_id"] for r in items.collect()} and "% 100" not in queries.SQL["spell_queries"]
+
+
 def test_embedding_cost_is_linear_and_vectors_are_units(spark):
     words = spark.createDataFrame([(i, " ".join(f"word{i * j}" for j in range(200))) for i in range(40)] + [(40, None), (41, "")], "i int, t string")
     for dim in (16, 256):
