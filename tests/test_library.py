@@ -270,6 +270,32 @@ def test_block_search_is_keyword_search(spark, monkeypatch):
     assert "Join Inner, (term" not in plan.split("MapInArrow")[0]
 
 
+def test_text_search_is_keyword_search(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(sparse, "SCORE_ROWS", 9)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randrange(60)))) for i in range(90)] + [(90, None), (91, "only here"), (92, "only here"), (93, "")]
+    asked = spark.createDataFrame([(i, t) for i, t in rows if i % 4 == 3] + [(500, "unseen"), (501, ""), (502, None), (503, "W7 w7, only w3!")], "qid long, query string")
+    for more in ([], [(5, "w1 only"), (5, None), (7, "seven")]):  # a key in several rows is one document
+        docs = spark.createDataFrame(rows + more, "key long, text string").repartition(5)
+        counts = sparse.term_counts(docs, "key", F.col("text"))
+        voc = sparse.fit_vocabulary(counts, docs.count())
+        want = {(r["qid"], r["rank"], r["key"]): pytest.approx(r["score"], abs=1e-9) for r in sparse.search(sparse.weigh(counts, voc, "key"), voc, asked, 5).collect()}
+        terms = sparse.text_vocabulary(docs, "key", F.col("text"))
+        assert terms.count() == voc.count()
+        for most in (2_000_000, 20, 0):
+            monkeypatch.setattr(sparse, "TERMS_SENT", most)
+            got = sparse.text_search(docs, terms, asked, 5, "key", F.col("text"))
+            assert {(r["qid"], r["rank"], r["key"]): r["score"] for r in got.collect()} == want
+        none = sparse.text_search(docs.where("false"), sparse.text_vocabulary(docs.where("false"), "key", F.col("text")), asked, 5, "key", F.col("text"))
+        assert none.count() == 0 and sparse.text_search(docs, terms, asked.where("false"), 5, "key", F.col("text")).count() == 0
+
+
+def test_known_items_need_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(queries, "stored_index", None)
+    assert queries.known_item_acc(spark, SF).first()["total"] > 0
+
+
 def test_vectors_need_no_postings(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored_index", None)
     assert queries.vector_topk(spark, SF).count() > 0
