@@ -296,6 +296,11 @@ def test_known_items_need_no_postings(spark, monkeypatch):
     assert queries.known_item_acc(spark, SF).first()["total"] > 0
 
 
+def test_known_item_classes_need_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(queries, "stored_index", None)
+    assert sum(r["total"] for r in queries.known_item_by_class(spark, SF).collect()) == spark.read.parquet(f"{SF}/benchmark.parquet").count()
+
+
 def test_vectors_need_no_postings(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored_index", None)
     assert queries.vector_topk(spark, SF).count() > 0
