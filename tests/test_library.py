@@ -301,6 +301,11 @@ def test_known_item_classes_need_no_postings(spark, monkeypatch):
     assert sum(r["total"] for r in queries.known_item_by_class(spark, SF).collect()) == spark.read.parquet(f"{SF}/benchmark.parquet").count()
 
 
+def test_gate_needs_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(queries, "stored_index", None)
+    assert queries.gate_check(spark, SF).first()["mode"] == "keyword"
+
+
 def test_vectors_need_no_postings(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored_index", None)
     assert queries.vector_topk(spark, SF).count() > 0
