@@ -12,7 +12,7 @@ from brindle.functions import text as X
 from brindle.functions.judging import vote
 from brindle.functions.rag import unsupported_titles
 from brindle.operators import agreement, bootstrap, dense, etl, language, metrics, ranking, sampling, sparse, spelling
-from brindle.plans import queries
+from brindle.plans import more_queries, queries
 from brindle.plans.engine import Engine, Index, build_index, lexical_scorer, model_scorer, understand
 from brindle.sources import tables
 
@@ -306,6 +306,13 @@ def test_gate_needs_no_postings(spark, monkeypatch):
     assert queries.gate_check(spark, SF).first()["mode"] == "keyword"
 
 
+def test_difficulties_need_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(queries, "stored_index", None)
+    found = more_queries.difficulties(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0 and "SortMergeJoin" not in plan
+
+
 def test_vectors_need_no_postings(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored_index", None)
     assert queries.vector_topk(spark, SF).count() > 0
