@@ -13,7 +13,7 @@ from brindle.functions.judging import vote
 from brindle.functions.rag import unsupported_titles
 from brindle.operators import agreement, bootstrap, dense, etl, language, metrics, ranking, sampling, sparse, spelling
 from brindle.plans import more_queries, queries
-from brindle.plans.engine import Engine, Index, build_index, lexical_scorer, model_scorer, understand
+from brindle.plans.engine import Engine, Index, build_index, lexical_scorer, model_scorer, text_index, understand
 from brindle.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -306,6 +306,26 @@ def test_gate_needs_no_postings(spark, monkeypatch):
     assert queries.gate_check(spark, SF).first()["mode"] == "keyword"
 
 
+def test_engine_search_needs_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "weigh", None)
+    found = more_queries.engine_search(spark, SF)
+    assert found.count() > 0 and {r["rank"] for r in found.collect()} == set(range(1, 11))
+
+
+def test_text_engine_is_the_stored_engine(spark, tmp_path):
+    rows = [(f"gr:{i}", f"Title {w}", ["Ann Lee"], f"a tale of {w} and {v} told in full", ["Fiction"], 1990 + i, None, None, 1 + i % 3) for i, (w, v) in enumerate([("dragons", "kings"), ("ships", "storms"), ("gardens", "bees"), ("dragons", "bees")])]
+    books = spark.createDataFrame(rows, "work_id string, title string, authors array<string>, description string, subjects array<string>, first_publish_year int, cover_id int, isbn string, tier int")
+    embed = lambda c: dense.hashed_embedding(c, 64)
+    vectors = books.select("work_id", embed(F.concat_ws(" ", "title", "description")).alias("embedding"))
+    build_index(books, vectors).save(str(tmp_path / "index"))
+    stored, texts = Engine(Index.load(spark, str(tmp_path / "index")), embed, scorer=lexical_scorer), Engine(text_index(books, vectors), embed, scorer=lexical_scorer)
+    q = spark.createDataFrame([(1, "dragons and bees"), (2, "unseen")], "qid int, query string")
+    for asked in ({"mode": "keyword"}, {"tier": 1}, {"rerank": True, "explain": True}):
+        a, b = (sorted(e.search(q, 3, **asked).drop("score").collect()) for e in (stored, texts))
+        assert a == b and a
+    assert texts.health()["status"] == "ok" and texts.ready() and texts.stats() == stored.stats()
+
+
 def test_difficulties_need_no_postings(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored_index", None)
     found = more_queries.difficulties(spark, SF)
